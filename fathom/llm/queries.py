@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from fathom.llm.common import table
 from fathom.llm.line_dedup import dedup_lines
 from fathom.llm.substring_dedup import dedup_substrings
+from fathom.llm.suffix_dedup import dedup_suffixes
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), run=2).drop("text")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(table(spark, sf_dir, "documents"), length=50)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), window=35)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
