@@ -91,3 +91,21 @@ def lines_of(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     start = np.sort(np.concatenate([at[full], breaks + 1]))
     end = np.sort(np.concatenate([at[full + 1], breaks]))
     return start, end, np.repeat(full, 1 + np.diff(np.searchsorted(breaks, at))[full])
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", each: int = 2 << 20):
+    """Parts of a batch with about `each` bytes of text, so that temporary arrays stay small."""
+    column = batch.column(batch.schema.get_field_index(text))
+    sizes = np.diff(text_block(column)[1])
+    part = np.cumsum(sizes + 64) // each
+    for i, j in zip(*_ends(part), strict=True):
+        yield batch.slice(i, j - i)
+
+
+def _ends(part: np.ndarray) -> tuple[list[int], list[int]]:
+    at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+    return at[:-1].tolist(), at[1:].tolist()

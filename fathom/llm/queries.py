@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm.common import table
+from fathom.llm.embedding_dedup import link_vectors
 from fathom.llm.line_dedup import dedup_lines
+from fathom.llm.minhash_dedup import near_duplicates
 from fathom.llm.substring_dedup import dedup_substrings
 from fathom.llm.suffix_dedup import dedup_suffixes
 
@@ -20,14 +22,24 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents"), length=50)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"), at_least=0.98)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), window=35)
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}
