@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -140,18 +141,6 @@ def suffix_stem(w: str) -> str:
     return w
 
 
-def _stem_arrays(stem: Callable[[str], str]) -> Callable[[Column], Column]:
-    """Stems arrays in Arrow batches; each distinct token of a batch is stemmed once."""
-
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        get = lambda w: None if w is None else known[w] if w in known else known.setdefault(w, stem(w))
-        return s.map(lambda a: None if a is None else [get(w) for w in a])
-
-    return run
-
-
 def _each(native: Callable[[Column], Column], python: Callable[[str], str]):
     return (lambda a: F.transform(a, native)), (lambda ts: [python(t) for t in ts])
 
@@ -180,6 +169,14 @@ def _british_column(x: Column) -> Column:
 
 
 _POSSESSIVE = "['’][sS]$"
+PYTHON_STEPS = ("kstem", "snowball")
+
+
+@lru_cache(1 << 16)
+def _known(stem: Callable[[str], str], word: str) -> str:
+    return stem(word)
+
+
 #: Steps on tokens: (on a column of arrays, on a list).
 FILTERS: dict[str, tuple[Callable, Callable]] = {
     "lower": _each(F.lower, str.lower),
@@ -188,8 +185,8 @@ FILTERS: dict[str, tuple[Callable, Callable]] = {
     "stop": ((lambda a: F.transform(a, lambda x: F.when(~x.isin(*STOP), x))), (lambda ts: [None if t in STOP else t for t in ts])),
     "possessive": _each(lambda x: F.regexp_replace(x, _POSSESSIVE, ""), lambda t: re.sub(_POSSESSIVE, "", t)),
     "min_stem": _each(_min_stem, min_stem),
-    "kstem": (_stem_arrays(inflect_stem), lambda ts: [inflect_stem(t) for t in ts]),
-    "snowball": (_stem_arrays(suffix_stem), lambda ts: [suffix_stem(t) for t in ts]),
+    "kstem": (None, lambda ts: [_known(inflect_stem, t) for t in ts]),
+    "snowball": (None, lambda ts: [_known(suffix_stem, t) for t in ts]),
     "british_us": _each(_british_column, lambda t: BRITISH.get(t, t)),
     "concat_all": _each(lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", ""), lambda t: re.sub(r"[\W_]", "", t)),
     "german": _each(_german_column, _german),
@@ -199,6 +196,7 @@ FILTERS: dict[str, tuple[Callable, Callable]] = {
 
 def _protected(step: str):
     native, python = FILTERS[step]
+    native = native or (lambda a: a)
     return (lambda a: F.transform(F.arrays_zip(a.alias("x"), native(a).alias("y")), lambda z: F.when(z["x"] == "AIDS", z["x"]).otherwise(z["y"]))), (lambda ts: [t if t == "AIDS" else u for t, u in zip(ts, python(ts), strict=True)])
 
 
@@ -237,8 +235,10 @@ def steps(name: str, config: IndexConfig | None = None) -> tuple[str, ...]:
 
 def tokens(c: Column, name: str, config: IndexConfig | None = None) -> Column:
     """An array of tokens for a string column; null for null. Stopped tokens leave null gaps that keep positions."""
-    protect = False
-    for s in steps(name, config):
+    protect, todo = False, steps(name, config)
+    for i, s in enumerate(todo):
+        if s in PYTHON_STEPS:  # from here on in Python, as Spark's lambdas don't take its results
+            return _in_python(c, todo[i:], protect)
         if s == "html":
             c = strip_html(c)
         elif s in TOKENIZERS:
@@ -250,24 +250,43 @@ def tokens(c: Column, name: str, config: IndexConfig | None = None) -> Column:
     return c
 
 
+def _apply(out: list, todo: tuple[str, ...], protect: bool = False) -> list:
+    for s in todo:
+        if s == "case_protect":
+            protect = True
+            continue
+        f = (_protected(s) if protect else FILTERS[s])[1]
+        if s == "stop":
+            out = f(out)
+        elif s.startswith("shingle"):
+            out = f([t for t in out if t is not None])
+        else:
+            out = [None if t is None else f([t])[0] for t in out]
+    return out
+
+
+def _in_python(c: Column, todo: tuple[str, ...], protect: bool) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: None if a is None else _apply(list(a), todo, protect))
+
+    return F.pandas_udf(run, "array<string>")(c)
+
+
+def in_python(name: str, config: IndexConfig | None = None) -> bool:
+    """Whether an analyzer has steps in Python, so that its tokens must be a column before lambdas use them."""
+    return any(s in PYTHON_STEPS for s in steps(name, config))
+
+
 def query_tokens(text: str, name: str, config: IndexConfig | None = None) -> list[str | None]:
     """The same tokens for a piece of query text."""
-    out: list = []
-    protect = False
-    for s in steps(name, config):
+    todo, out = list(steps(name, config)), []
+    while todo and (todo[0] == "html" or todo[0] in TOKENIZERS):
+        s = todo.pop(0)
         if s == "html":
             text = re.sub("<[^>]*>", "", text)
-        elif s in TOKENIZERS:
-            out = TOKENIZERS[s][1](text)
-        elif s == "case_protect":
-            protect = True
         else:
-            f = (_protected(s) if protect else FILTERS[s])[1]
-            if s in ("stop",) or s.startswith("shingle"):
-                out = f([t for t in out if t is not None] if s != "stop" else out)
-            else:
-                out = [None if t is None else f([t])[0] for t in out]
-    return out
+            out = TOKENIZERS[s][1](text)
+    return _apply(out, tuple(todo))
 
 
 def minhash(shingles: Column, size: int = 32) -> Column:

@@ -170,7 +170,7 @@ class Searcher:
         has_must = any(c.kind in ("FILTER", "TERMS", "SCORE_MUST", "NUMERIC_SET") for c in plain) or any(c.kind == "VECTOR" for c in vectors)
         if should and not has_must and not any(c.kind == "VECTOR_SHOULD" for c in vectors):
             tests.append(reduce(lambda a, b: a | b, [c.match for c in should]))
-        df = self.df
+        df = comp.prepared(self.df)
         for d in s.drill_downs:
             tests.append(self.drill(comp, d))
         if tests:
@@ -181,7 +181,7 @@ class Searcher:
             df = df.withColumn("score", reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0))
         for c in vectors:
             df = self._vector(df, c)
-        return df
+        return df.drop(*(f"_tok_{n}" for n in comp.made))
 
     def _vector(self, df: DataFrame, c: Clause) -> DataFrame:
         pool = self.df

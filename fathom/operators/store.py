@@ -51,7 +51,7 @@ def shard_of(id_column: Column, shards: int) -> Column:
         return F.struct(high.bitwiseAND(F.lit(mask)).alias("hi"), low.bitwiseAND(F.lit(mask)).alias("lo"))
 
     start = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(5381).cast("long").alias("lo"))
-    h = F.aggregate(F.split(id_column, ""), start, step, lambda a: F.shiftleft(a["hi"], 32).bitwiseOR(a["lo"]))
+    h = F.aggregate(F.filter(F.split(id_column, ""), lambda c: c != ""), start, step, lambda a: F.shiftleft(a["hi"], 32).bitwiseOR(a["lo"]))
     return F.pmod(h, F.lit(shards)).cast("int")
 
 

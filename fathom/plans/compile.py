@@ -40,6 +40,7 @@ class Compiler:
     config: IndexConfig
     similarity: dict[str, str] = field(default_factory=dict)
     terms: set[tuple[str, str]] = field(default_factory=set)
+    made: set[str] = field(default_factory=set)
 
     # fields
 
@@ -76,6 +77,16 @@ class Compiler:
 
     def tokens(self, name: str) -> Column:
         f, analyzer = self.search_field(name)
+        if analyzer and analysis.in_python(analyzer, self.config):
+            self.made.add(name)
+            return F.col(f"_tok_{name}")
+        return self.token_expr(f, analyzer)
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """df with the tokens that only Python can make as columns."""
+        return df.withColumns({f"_tok_{n}": self.token_expr(*self.search_field(n)) for n in sorted(self.made)}) if self.made else df
+
+    def token_expr(self, f: FieldConfig, analyzer: str) -> Column:
         if not self.is_list(f):
             return analysis.tokens(self.stored(f).cast("string"), analyzer or "whitespace", self.config)
         gap = F.array_repeat(F.lit(None).cast("string"), analysis.GAP)
@@ -304,7 +315,7 @@ class Compiler:
             return {"n": 0}
         pairs = sorted(self.terms)
         names = sorted({f for f, _ in pairs})
-        tok = self.df.select(*(self.tokens(f).alias(f"t{i}") for i, f in enumerate(names)))
+        tok = self.prepared(self.df).select(*(self.tokens(f).alias(f"t{i}") for i, f in enumerate(names)))
         at = {f: F.col(f"t{i}") for i, f in enumerate(names)}
         sizes = [F.avg(F.when(F.size(at[f]) > 0, F.size(F.filter(at[f], lambda t: t.isNotNull())))).alias(f"m{i}") for i, f in enumerate(names)]
         held = [F.count_if(F.array_contains(at[f], w)).alias(f"d{i}") for i, (f, w) in enumerate(pairs)]

@@ -124,7 +124,7 @@ def read_sheet(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def as_list(c: Column, sep: str = ";") -> Column:
     """A delimited cell as trimmed values without blanks; null stays null."""
-    return F.filter(F.transform(F.split(c, re.escape(sep)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, re.escape(sep)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def as_bool(c: Column) -> Column:
