@@ -20,6 +20,8 @@ class RunIndex:
     """
 
     def __init__(self, data: np.ndarray, lens: np.ndarray, docs: np.ndarray, length: int):
+        if length < 8:
+            raise ValueError("matches have 8 symbols or more")
         self.lens, self.length = lens, length
         n = len(data) + len(lens)
         sep = np.cumsum(lens + 1) - 1

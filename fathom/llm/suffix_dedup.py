@@ -13,6 +13,8 @@ from fathom.llm import hashing as H
 from fathom.llm.common import pieces
 from fathom.llm.run_index import RunIndex, ranges
 
+#: Bytes of text in a block; a bucket indexes about as much.
+BLOCK_BYTES = 1 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -20,16 +22,24 @@ def grams(buf: np.ndarray, gram: int) -> np.ndarray:
     return H.windows_hash(H._TABLE[0][buf], gram)
 
 
-def segments(buf: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of windows with the same least gram: first window, number of windows, that gram's hash."""
+def sliding(op, x: np.ndarray, wide: int) -> np.ndarray:
+    """op (minimum or maximum) over every `wide` neighbours, by doubling."""
+    n, size = len(x) - wide + 1, 1
+    while 2 * size <= wide:
+        x, size = op(x[:-size], x[size:]), 2 * size
+    return op(x[:n], x[wide - size :][:n])
+
+
+def segments(buf: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Maximal runs of windows with the same least gram: first window, number of windows, that gram's hash; and every
+    place of a least gram with its hash.
+    """
     n, wide = len(buf) - length + 1, length - gram + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64)
-    m, size = grams(buf, gram), 1
-    while 2 * size <= wide:
-        m, size = np.minimum(m[:-size], m[size:]), 2 * size
-    m = np.minimum(m[:n], m[wide - size :][:n])
+        return z, z, z.astype(np.uint64), z, z.astype(np.uint64)
+    h = grams(buf, gram)
+    m = sliding(np.minimum, h, wide)
     cross = np.zeros(n + 1, np.int64)
     ends = at[1:-1][at[1:-1] < len(buf)]
     np.add.at(cross, np.maximum(0, np.minimum(ends - length + 1, n)), 1)
@@ -40,7 +50,10 @@ def segments(buf: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
     start = np.flatnonzero(new)
     stop = own.copy()
     stop[:-1] &= ~own[1:] | new[1:]
-    return start, np.flatnonzero(stop) + 1 - start, m[start]
+    # a gram is the least of some window if the greatest of the least hashes around it is its own
+    none = np.zeros(wide - 1, np.uint64)
+    place = np.flatnonzero(sliding(np.maximum, np.concatenate([none, np.where(own, m, 0), none]), wide) == h)
+    return start, np.flatnonzero(stop) + 1 - start, m[start], place, h[place]
 
 
 def least_documents(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,47 +86,64 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id. Each
     window of that length is routed by its least gram hash, so equal windows meet; a run of windows with one least
-    gram is a segment. Grams that no second document has rule their segments out. The other segments go, each once
+    gram is a segment. Of two equal windows half of what is beyond the gram lies on one side of it: the gram with as
+    much on its left, or on its right, is in both. Where no second document has either, nothing around that gram is
+    repeated. The other segments go, each once
     per block with its block's least doc_id, to the bucket of their gram, which indexes them (see RunIndex) and
     streams the least doc_id of every window back as one bit: is it below the block's own?
 
     Null texts count as empty, bytes may be any, and empty tables give no rows. Rows with one doc_id don't count
     against each other; rows without doc_id come after all others. Other columns go.
     """
-    size = pieces(docs, "text", X.BLOCK_BYTES)
+    size = pieces(docs, "text", BLOCK_BYTES)
+    buckets, indexes = max(1, size // 4), size
+
+    side = (length - gram) // 2
 
     def found(t: pa.Table):
         ids, t = X.in_order(t)
         buf, at = H.text_block(t.column("text"))
-        start, count, anchor = segments(buf, at, length, gram)
-        doc = ids[np.searchsorted(at, start, "right") - 1] if len(start) else start
-        one, group = X.distinct(anchor)
-        return ids, t, buf, at, start, count, anchor, doc, one, group
+        start, count, anchor, place, value = segments(buf, at, length, gram)
+        whose = np.searchsorted(at, place, "right") - 1
+        left = np.flatnonzero(place - side >= at[whose]) if len(place) else place
+        right = np.flatnonzero(place + gram + side <= at[whose + 1]) if len(place) else place
+        wide = H.windows_hash(H._TABLE[1][buf], gram + side, 1)
+        which = np.concatenate([left, right])
+        keys = wide[np.concatenate([place[left] - side, place[right]])] if len(wide) else np.zeros(0, np.uint64)
+        return ids, t, buf, at, start, count, anchor, value[which], ids[whose[which]], keys
 
     def first(blk: int, t: pa.Table) -> pa.Table:
-        *_, anchor, doc, one, group = found(t)
-        most = np.full(len(one), -X.LAST)
+        *_, doc, keys = found(t)
+        one, group = X.distinct(keys)
+        most, least = np.full(len(one), -X.LAST), np.full(len(one), X.LAST)
         np.maximum.at(most, group, doc)
-        many = most > doc[one]
-        return X.messages(X.ask(blk, size, anchor[one], tail=lambda i, j: X.pack(many[i:j])))
+        np.minimum.at(least, group, doc)
+        many = most > least
+        return X.messages(X.ask(blk, buckets, keys[one], tail=lambda i, j: X.pack(many[i:j])))
 
-    def routed(t: pa.Table, shared):
+    def routed(t: pa.Table, said=None, echoed: bytes = b""):
         """Segments of shared grams; the distinct ones by gram, with the first row of each in the block."""
-        ids, t, buf, at, start, count, anchor, doc, one, group = found(t)
-        bits = shared(anchor[one])
-        some = bits[group] if len(group) else np.zeros(0, bool)
-        start, count, anchor, doc = start[some], count[some], anchor[some], doc[some]
+        ids, t, buf, at, start, count, anchor, value, _, keys = found(t)
+        if said is None:
+            some = X.unpack(echoed, len(start)) if echoed else np.zeros(len(start), bool)
+        else:
+            one, group = X.distinct(keys)
+            bits = X.bits_of(said, keys[one], buckets)
+            some = np.isin(anchor, value[bits[group]] if len(group) else value)
+        bits = some
+        start, count, anchor = start[some], count[some], anchor[some]
+        doc = ids[np.searchsorted(at, start, "right") - 1] if len(start) else start
         end = start + count + length - 1
         rep, of = X.distinct(H.spans_hash(buf, start, end), H.spans_hash(buf, start, end, 1))
         by = np.argsort(anchor[rep], kind="stable")
         back = np.empty(len(by), np.int64)
         back[by] = np.arange(len(by))
         rep = rep[by]
-        return ids, t, buf, at, start, count, doc, rep, back[of], X.cuts(anchor[rep], size), bits
+        return ids, t, buf, at, start, count, doc, rep, back[of], X.cuts(anchor[rep], indexes), bits
 
     def second(blk: int, t: pa.Table, said: pa.Table) -> pa.Table:
-        _, _, buf, _, start, count, doc, rep, _, c, bits = routed(t, lambda keys: X.bits_of(X.answers(said)[1], keys, size))
-        out = [X.echo(blk, size, X.pack(bits))]
+        _, _, buf, _, start, count, doc, rep, _, c, bits = routed(t, X.answers(said)[1])
+        out = [X.echo(blk, indexes, X.pack(bits))]
         for b in np.flatnonzero(np.diff(c)).tolist():
             r = rep[c[b] : c[b + 1]]
             lens = count[r] + length - 1
@@ -137,7 +167,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
 
     def last(blk: int, t: pa.Table, said: pa.Table) -> pa.Table:
         echoed, answers = X.answers(said)
-        ids, t, buf, at, start, count, doc, rep, of, c, _ = routed(t, lambda keys: X.unpack(echoed, len(keys)) if echoed else np.zeros(len(keys), bool))
+        ids, t, buf, at, start, count, doc, rep, of, c, _ = routed(t, None, echoed)
         per = count[rep]
         edge = np.concatenate([[0], np.cumsum(per)])
         late = np.zeros(edge[-1], bool)
