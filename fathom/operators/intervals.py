@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from fnmatch import fnmatchcase
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,7 +13,6 @@ from fathom.config import QueryError
 
 #: An interval: first position, last position, positions of it that terms take.
 Span = tuple[int, int, int]
-_LIMIT = 20000  # combinations looked at for one function in one value; beyond it matches are found by their first ones
 
 
 def edits(a: str, b: str, most: int, swaps: bool = True) -> int:
@@ -33,14 +32,43 @@ def edits(a: str, b: str, most: int, swaps: bool = True) -> int:
 
 
 def minimal(spans: list[Span]) -> list[Span]:
-    """Spans that hold no other span."""
+    """Spans that hold no other span, by their ends; starts then rise, too."""
     out: list[Span] = []
-    for s in sorted(set(spans), key=lambda x: (x[1], -x[0])):
-        if not any(o[0] >= s[0] and o[1] <= s[1] and o != s for o in out[-64:]):
+    for s in sorted(spans, key=lambda x: (x[1], -x[0], x[2])):
+        if not out or s[0] > out[-1][0]:
             out.append(s)
     return out
 
 
+def ordered(parts: list[list[Span]], touching: bool = False) -> list[Span]:
+    """One span of each part, one behind the other: each takes the latest that ends before it (touching: right before)."""
+    now = parts[0]
+    for part in parts[1:]:
+        ends, out = [s[1] for s in now], []
+        for s in part:
+            i = bisect_left(ends, s[0]) - 1
+            if i >= 0 and (not touching or ends[i] == s[0] - 1):
+                out.append((now[i][0], s[1], now[i][2] + s[2]))
+        now = minimal(out)
+    return now
+
+
+def unordered(parts: list[list[Span]], least: int) -> list[Span]:
+    """Windows that hold spans of at least `least` of the parts, in any order; equal parts take different spans."""
+    kinds: dict[tuple, int] = {}
+    for part in parts:
+        kinds[tuple(part)] = kinds.get(tuple(part), 0) + 1
+    last: list[list[Span]] = [[] for _ in kinds]
+    out = []
+    for s, k in sorted(((s, k) for k, part in enumerate(kinds) for s in part), key=lambda x: (x[0][1], x[0][0])):
+        last[k] = [s, *last[k]][: list(kinds.values())[k]]
+        held = sorted((x for own in last for x in own), reverse=True)
+        if len(held) >= least:
+            some = held[:least]
+            out.append((some[-1][0], max(x[1] for x in some), sum(x[2] for x in some)))
+    return minimal(out)
+
+
 def evaluate(fn: tuple, tokens: list[str | None]) -> list[Span]:
     name, args = fn
 
@@ -56,36 +84,20 @@ def evaluate(fn: tuple, tokens: list[str | None]) -> list[Span]:
             return phrase([str(x)])
         return phrase(x[1]) if x[0] == "text" else evaluate(x, tokens)
 
-    def join(parts: list[list[Span]], ok) -> list[Span]:
-        out, seen = [], 0
-        for c in product(*parts):
-            seen += 1
-            if ok(c):
-                out.append((min(s[0] for s in c), max(s[1] for s in c), sum(s[2] for s in c)))
-            if seen > _LIMIT and out:
-                break
-        return minimal(out)
-
     apart = lambda a, b: a[1] < b[0] or b[1] < a[0]
-    rising = lambda c: all(x[1] < y[0] for x, y in zip(c, c[1:], strict=False))
-    different = lambda c: len({s[:2] for s in c}) == len(c)
     num = [a for a in args if isinstance(a, int)]
     src = lambda: [arg(a) for a in args]
-    if name == "ordered":
-        return join(src(), rising)
+    if name in ("ordered", "phrase"):
+        return ordered(src(), name == "phrase")
     if name == "unordered":
-        return join(src(), different)
+        return unordered(src(), len(args))
     if name == "unorderedNoOverlaps":
-        return join(src(), lambda c: all(apart(x, y) for i, x in enumerate(c) for y in c[i + 1 :]))
-    if name == "phrase":
-        return join(src(), lambda c: all(x[1] + 1 == y[0] for x, y in zip(c, c[1:], strict=False)))
+        a, b = src()
+        return minimal(ordered([a, b]) + ordered([b, a]))
     if name == "or":
         return minimal([s for a in src() for s in a])
     if name == "atLeast":
-        n, parts = args[0], [arg(a) for a in args[1:]]
-        from itertools import combinations
-
-        return minimal([s for c in combinations(parts, n) if all(c) for s in join(list(c), different)])
+        return unordered([arg(a) for a in args[1:]], args[0])
     if name in ("maxwidth", "maxgaps"):
         n, spans = args[0], arg(args[1])
         return [s for s in spans if (s[1] - s[0] + 1 <= n if name == "maxwidth" else s[1] - s[0] + 1 - s[2] <= n)]
@@ -99,8 +111,9 @@ def evaluate(fn: tuple, tokens: list[str | None]) -> list[Span]:
         return [(max(0, s[0] - args[1]), s[1] + args[2], s[2]) for s in arg(args[0])]
     if name in ("within", "notWithin"):
         refs, n = arg(args[2]), args[1]
-        near = lambda s: any(s[0] - n <= r[1] and r[0] <= s[1] + n for r in refs)
-        return [s for s in arg(args[0]) if near(s) == (name == "within")]
+        if name == "within":
+            return [s for s in arg(args[0]) if any(r[0] - n <= s[0] and s[1] <= r[1] + n for r in refs)]
+        return [s for s in arg(args[0]) if not any(r[0] - n <= s[1] and s[0] <= r[1] + n for r in refs)]
     a, b = src()
     inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1]
     test = {
@@ -157,18 +170,37 @@ def sloppy(tokens: Column, words: list[str], slop: int) -> Column:
     """A phrase whose words may move by `slop` positions in all."""
 
     def near(a) -> bool:
-        where = [[i for i, t in enumerate(a) if t == w] for w in words]
-        if not all(where):
-            return False
-        for k, c in enumerate(product(*where)):
-            if len(set(c)) == len(c):
-                shift = [p - i for i, p in enumerate(c)]
-                if max(shift) - min(shift) <= slop:
-                    return True
-            if k > _LIMIT * 10:
-                return False
+        """Sweeps over where each word would have the phrase begin; equal words take different positions."""
+        begins = sorted((p - i, i, p) for i, w in enumerate(words) for p, t in enumerate(a) if t == w)
+        low = 0
+        for high, (begin, _, _) in enumerate(begins):
+            while begins[low][0] < begin - slop:
+                low += 1
+            some = begins[low : high + 1]
+            if len({i for _, i, _ in some}) == len(words) and (plain or assigned(some)):
+                return True
         return False
 
+    plain = len(set(words)) == len(words)
+
+    def assigned(some: list[tuple[int, int, int]]) -> bool:
+        """Whether every word of the phrase finds a position of its own (augmenting paths)."""
+        options: dict[int, list[int]] = {}
+        for _, i, p in some:
+            options.setdefault(i, []).append(p)
+        taken: dict[int, int] = {}
+
+        def place(i: int, seen: set[int]) -> bool:
+            for p in options[i]:
+                if p not in seen:
+                    seen.add(p)
+                    if p not in taken or place(taken[p], seen):
+                        taken[p] = i
+                        return True
+            return False
+
+        return all(place(i, set()) for i in options)
+
     @F.pandas_udf("boolean")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda a: a is not None and near(list(a)))

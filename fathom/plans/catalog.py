@@ -122,13 +122,48 @@ hits("a_query_side", part, 'p_type:"SMALL"', "part", "p_partkey", f"list_contain
 hits("q_range_builder", lines, range_text("l_quantity", 5, 9, "INCLUDE_MIN"), L_TABLE, "lid", "l_quantity >= 5 and l_quantity < 9")
 hits("q_values_builder", part, values_text(("p_name",), ["red", "blue", "green"], 1), "part", "p_partkey", f"list_has_any({T_NAME}, ['red', 'blue', 'green'])")
 hits("iv_ordered", docs, "fn:ordered(of the)", "documents", "doc_id", f"list_contains({T_TEXT}, 'the') and list_position({T_TEXT}, 'of') > 0 and list_position({T_TEXT}, 'of') < len({T_TEXT}) + 1 - list_position(list_reverse({T_TEXT}), 'the')")
-for name, q in {"iv_maxgaps": "fn:maxgaps(2 fn:unordered(of and))", "iv_within": "fn:within(of 3 the)", "iv_not_containing": 'fn:notContaining(fn:ordered(of the) and)', "iv_atleast": "fn:maxwidth(6 fn:atLeast(2 of the and))", "iv_containing": "fn:containing(fn:ordered(the of) and)", "iv_contained_by": "fn:containedBy(and fn:ordered(the of))", "iv_not_contained_by": "fn:notContainedBy(and fn:ordered(the of))", "iv_before": "fn:before(of the)", "iv_after": "fn:after(of the)", "iv_overlapping": "fn:overlapping(fn:ordered(of the) fn:ordered(the and))", "iv_nonoverlapping": "fn:nonOverlapping(fn:ordered(of the) fn:ordered(the and))", "iv_or": "fn:ordered(fn:or(de la) fn:or(en el))", "iv_phrase": 'fn:phrase(of the)', "iv_unordered": "fn:unordered(of the)", "iv_unordered_no": "fn:unorderedNoOverlaps(of the)", "iv_extend": "fn:containing(fn:extend(of 2 2) the)", "iv_not_within": "fn:notWithin(of 2 the)", "iv_wildcard": "fn:ordered(of fn:wildcard(th*))", "iv_fuzzyterm": "fn:maxgaps(0 fn:ordered(of fn:fuzzyTerm(tha 1)))", "iv_maxwidth": "fn:maxwidth(3 fn:ordered(of the))"}.items():
-    hits(name, docs, q, "documents", "doc_id", "")
-    ORACLES.pop(name)
-hits("p_slop", docs, '"of the"~2', "documents", "doc_id", "")
-ORACLES.pop("p_slop")
-ORACLES["iv_phrase"] = ORACLES["p_phrase"]
-ORACLES["iv_unordered"] = ORACLES["iv_unordered_no"] = f"select doc_id from documents where list_contains({T_TEXT}, 'of') and list_contains({T_TEXT}, 'the')"
+def where_of(*words: str) -> str:
+    """Positions of some words in the list t, in SQL."""
+    return f"list_filter(range(1, len(t) + 1), lambda i: t[i] in ({', '.join(repr(w) for w in words)}))"
+
+
+def next_pairs(a: str, b: str) -> str:
+    """Shortest stretches from a position in list a to a later one in list b, in SQL: [first, last, the b before]."""
+    return f"list_filter(list_transform({b}, lambda j: [list_max(list_filter({a}, lambda i: i < j)), j, coalesce(list_max(list_filter({b}, lambda k: k < j)), 0)]), lambda z: z[1] > z[3])"
+
+
+def near(low: int, high: int, a: str = "p_of", b: str = "p_the") -> str:
+    return f"len(list_filter({a}, lambda i: len(list_filter({b}, lambda j: j - i between {low} and {high})) > 0)) > 0"
+
+
+WITH_POSITIONS = f"(select doc_id, t, {where_of('of')} as p_of, {where_of('the')} as p_the, {where_of('and')} as p_and from (select doc_id, {T_TEXT} as t from documents))"
+OF_THE, THE_AND, THE_OF = next_pairs("p_of", "p_the"), next_pairs("p_the", "p_and"), next_pairs("p_the", "p_of")
+HOLDS = "len(list_filter(p_and, lambda k: k > z[1] and k < z[2])) {}"
+for name, q, where in (
+    ("iv_maxgaps", "fn:maxgaps(2 fn:unordered(of and))", near(-3, 3, "p_of", "p_and")),
+    ("iv_within", "fn:within(of 3 the)", near(-3, 3)),
+    ("iv_not_within", "fn:notWithin(of 2 the)", "len(list_filter(p_of, lambda i: len(list_filter(p_the, lambda j: abs(j - i) <= 2)) = 0)) > 0"),
+    ("iv_extend", "fn:containing(fn:extend(of 2 2) the)", near(-2, 2)),
+    ("iv_atleast", "fn:maxwidth(6 fn:atLeast(2 of the and))", f"{near(-5, 5)} or {near(-5, 5, 'p_of', 'p_and')} or {near(-5, 5, 'p_the', 'p_and')}"),
+    ("iv_maxwidth", "fn:maxwidth(3 fn:ordered(of the))", near(1, 2)),
+    ("iv_containing", "fn:containing(fn:ordered(the of) and)", f"len(list_filter({THE_OF}, lambda z: {HOLDS.format('> 0')})) > 0"),
+    ("iv_not_containing", "fn:notContaining(fn:ordered(of the) and)", f"len(list_filter({OF_THE}, lambda z: {HOLDS.format('= 0')})) > 0"),
+    ("iv_contained_by", "fn:containedBy(and fn:ordered(the of))", f"len(list_filter({THE_OF}, lambda z: {HOLDS.format('> 0')})) > 0"),
+    ("iv_not_contained_by", "fn:notContainedBy(and fn:ordered(the of))", f"len(list_filter(p_and, lambda k: len(list_filter({THE_OF}, lambda z: k > z[1] and k < z[2])) = 0)) > 0"),
+    ("iv_before", "fn:before(of the)", "list_min(p_of) < list_max(p_the)"),
+    ("iv_after", "fn:after(of the)", "list_max(p_of) > list_min(p_the)"),
+    ("iv_overlapping", "fn:overlapping(fn:ordered(of the) fn:ordered(the and))", f"len(list_filter({OF_THE}, lambda z: len(list_filter({THE_AND}, lambda y: y[1] <= z[2] and z[1] <= y[2])) > 0)) > 0"),
+    ("iv_nonoverlapping", "fn:nonOverlapping(fn:ordered(of the) fn:ordered(the and))", f"len(list_filter({OF_THE}, lambda z: len(list_filter({THE_AND}, lambda y: y[1] <= z[2] and z[1] <= y[2])) = 0)) > 0"),
+    ("iv_or", "fn:ordered(fn:or(de la) fn:or(en el))", f"list_min({where_of('de', 'la')}) < list_max({where_of('en', 'el')})"),
+    ("iv_phrase", "fn:phrase(of the)", near(1, 1)),
+    ("iv_unordered", "fn:unordered(of the)", "len(p_of) > 0 and len(p_the) > 0"),
+    ("iv_unordered_no", "fn:unorderedNoOverlaps(of the)", "len(p_of) > 0 and len(p_the) > 0"),
+    ("iv_text", 'fn:containing("of the" the)', near(1, 1)),
+    ("iv_wildcard", "fn:ordered(of fn:wildcard(th*))", "list_min(p_of) < list_max(list_filter(range(1, len(t) + 1), lambda i: starts_with(t[i], 'th')))"),
+    ("iv_fuzzyterm", "fn:maxgaps(0 fn:ordered(of fn:fuzzyTerm(tha 1)))", "len(list_filter(p_of, lambda i: i < len(t) and damerau_levenshtein(t[i + 1], 'tha') <= 1)) > 0"),
+    ("p_slop", '"of the"~2', near(-1, 3)),
+):
+    hits(name, docs, q, WITH_POSITIONS, "doc_id", where)
 hits("p_zl_geo", places, "zl:geo(place 40.7 -74.0 3000)", PLACES_SQL, "c_custkey", f"{km(40.7, -74.0)} <= 3000")
 hits("p_zl_bbox", places, "zl:geoBbox(place -10 40 170 -170)", PLACES_SQL, "c_custkey", "lat between -10 and 40 and (lon >= 170 or lon <= -170)")
 
