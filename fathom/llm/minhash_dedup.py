@@ -19,6 +19,8 @@ K, SHARED = 48, 20
 PAIRS = 4
 #: Lists up to this length are compared by pairs of rows, longer ones by packed tiles of about TILE documents.
 SHORT, TILE = 24, 512
+#: Ids of documents that are read again: up to so many are broadcast, more are joined.
+BROADCAST_IDS = 1_000_000
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -153,6 +155,12 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def again(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose doc_id is in `ids` (distinct); the ids are broadcast if they are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(id, s): the packed set of every document whose doc_id is in `wanted`, made again from its text."""
 
@@ -162,7 +170,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 keys, edge = shingle_sets(b.column(1), shingle)
                 yield pa.record_batch({"id": b.column(0), "s": pa.array([keys[i:j].tobytes() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())})
 
-    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, s binary")
+    return again(docs, wanted).mapInArrow(sets, "id long, s binary")
 
 
 def linked_rows(p: list[np.ndarray], q: list[np.ndarray], cp: np.ndarray, cq: np.ndarray) -> list[tuple[int, int]]:
@@ -228,21 +236,37 @@ def tiled(member: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Pairs with 100 * intersection >= 80 * union over the full sets, which are made again from the texts."""
+    """Pairs with 100 * intersection >= 80 * union over the full sets, which are made again from the texts.
 
-    def exact(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                i = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * i >= 80 * (len(p) + len(q) - i) and i > 0)
-            yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(ok, pa.bool_()))
+    Texts travel, not sets: they take a third of the bytes.
+    """
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    full = full_sets(docs, wanted, shingle)
-    both = pairs.join(full.selectExpr("id as a", "s as sa"), "a").join(full.selectExpr("id as b", "s as sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct()
+    def exact(batches):
+        for whole in batches:
+            for b in H.slices(whole, "ta"):
+                p, at = shingle_sets(b.column(2), shingle)
+                one = b.column(3).dictionary_encode()
+                q, of = shingle_sets(one.dictionary, shingle)
+                ok = []
+                for r, j in enumerate(one.indices.to_pylist()):
+                    x, y = p[at[r] : at[r + 1]], q[of[j] : of[j + 1]]
+                    i = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * i >= 80 * (len(x) + len(y) - i) and i > 0)
+                yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(ok, pa.bool_()))
+
+    pairs = cut(pairs)
+    texts = again(docs.where("text is not null"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    both = pairs.join(texts.selectExpr("doc_id as a", "text as ta"), "a").join(texts.selectExpr("doc_id as b", "text as tb"), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct()
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after more links, which are followed between the components found so far."""
+    ends = {c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"}
+    edges = cut(links.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")).where("u <> v"))
+    more = components(edges, "u", "v")
+    old = found.join(more.select(F.col("id").alias("component"), F.col("component").alias("low")), "component", "left").select("id", F.coalesce("low", "component").alias("component"))
+    return cut(old.union(more.join(found, "id", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2) -> DataFrame:
@@ -251,9 +275,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 2) -> DataFrame:
     Documents link when 100 * intersection >= 80 * union of their sets of distinct shingles of `shingle` words (A-Z
     lower-cased; a text with fewer words is one shingle; one with none links with nothing). Documents with equal sets
     become one before anything else, so thousands of copies cost one signature each. Candidates come from inverted
-    lists of neighbouring sketch values (`postings`): first each list's members against three hubs of the list, which settles most
-    of a group of near copies in proportion to its size, then all pairs that the found components leave apart, of short
-    lists as rows, of long ones in packed tiles. Sketches filter them, full sets confirm each. No list is capped.
+    lists of neighbouring sketch values (`postings`), whose hubs are three of their members. First each document meets the
+    hub that it shares most lists with, which settles most of a group of near copies in proportion to its size; then its
+    other hubs, if they are in other components; then all pairs that are still apart, of short lists as rows, of long
+    ones in packed tiles. Sketches filter them, full sets confirm each. No list is capped.
 
     Null and empty texts get an empty set and their own component. Rows that repeat a doc_id count as one document,
     which has the links of each. Rows without doc_id link with nothing, have no component and are kept. Other columns
@@ -267,17 +292,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 2) -> DataFrame:
     fit = "100 * least(n, m) >= 80 * greatest(n, m)"
     ends = [F.min(F.struct("id", "n")), F.max(F.struct("id", "n")), F.min_by(F.struct("id", "n"), F.xxhash64("id"))]
     hubs = lists.groupBy("value").agg(*(e.alias(x) for e, x in zip(ends, "xyz", strict=True))).where("x.id < y.id")
-    star = lists.join(hubs, "value").select("id", "n", F.explode(F.array("x", "y", "z")).alias("h")).select("id", "n", F.col("h.id").alias("h"), F.col("h.n").alias("m"))
-    star = cut(star.where("id <> h").where(fit).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct())
-    links = cut(verified(estimated(star, reps), docs, shingle))
-    found = components(links)
+    star = lists.join(hubs, "value").select("id", "n", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("h")).select("id", "n", F.col("h.id").alias("h"), F.col("h.n").alias("m"))
+    star = cut(star.where("id <> h").where(fit).groupBy("id", "h").agg(F.count("*").alias("k")))
+    pair = [F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")]
+    best = star.groupBy("id").agg(F.max_by("h", F.struct("k", -F.col("h"))).alias("h")).select(*pair).distinct()
+    found = components(cut(verified(estimated(best, reps), docs, shingle)))
+    part = found.select(F.col("id").alias("h"), F.col("component").alias("d"))
+    apart = star.join(found, "id", "left").join(part, "h", "left").where("coalesce(component, id) <> coalesce(d, h)").select(*pair).distinct()
+    star = star.select(*pair).distinct()
+    found = merged(found, verified(estimated(apart, reps), docs, shingle))
     member = lists.join(found, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("c"))
     open_lists = member.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).where("lo < hi and many > 2").select("value", "many")
     member = cut(member.join(open_lists, "value"))
     short, other = member.where(F.col("many") <= SHORT), member.where(F.col("many") <= SHORT).select("value", F.col("id").alias("h"), F.col("n").alias("m"), F.col("c").alias("d"))
     cross = short.join(other, "value").where("id < h and c <> d").where(fit).select(F.col("id").alias("a"), F.col("h").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = verified(estimated(cross, reps), docs, shingle).union(tiled(member.where(F.col("many") > SHORT), docs, shingle))
-    final = components(links.union(more))
+    final = merged(found, more)
     own = each.drop("sketch").join(reps.select("s1", "s2", "n_shingles", "id"), ["s1", "s2", "n_shingles"], "left")
     own = own.join(final, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
