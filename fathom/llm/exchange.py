@@ -83,6 +83,19 @@ def ask(blk: int, buckets: int, keys: np.ndarray, *more: np.ndarray, tail: Calla
     return [(b, blk, 1, b"".join([keys[i:j].tobytes(), *(m[i:j].tobytes() for m in more)]), tail(i, j)) for b, (i, j) in enumerate(zip(c[:-1].tolist(), c[1:].tolist(), strict=True)) if j > i]
 
 
+def short(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The 32 bits behind those that choose the bucket, in the same order. Buckets have a set size, so the share of
+    keys that are taken for another one is the same at any input: good for filters.
+    """
+    return (keys << np.uint64(buckets.bit_length() - 1) >> np.uint64(32)).astype(np.uint32)
+
+
+def ask_short(blk: int, buckets: int, keys: np.ndarray, tail: Callable) -> list[tuple]:
+    """Like ask, with keys of 32 bits."""
+    c, k = cuts(keys, buckets), short(keys, buckets)
+    return [(b, blk, 1, k[i:j].tobytes(), tail(i, j)) for b, (i, j) in enumerate(zip(c[:-1].tolist(), c[1:].tolist(), strict=True)) if j > i]
+
+
 def echo(blk: int, buckets: int, data: bytes) -> tuple:
     return (blk % buckets, blk, 0, data, b"")
 
@@ -109,15 +122,16 @@ def bits_of(said: list[tuple[int, bytes]], keys: np.ndarray, buckets: int) -> np
 def elsewhere(width: int) -> Callable[[pa.Table], pa.Table]:
     """A bucket's answers: is the key in another block too, or more than once in its own (the question's flags)?
 
-    width: 1 or 2 words of 64 bits a key.
+    width: 1 or 2 words of 64 bits a key; 0: keys of 32 bits.
     """
+    word = np.uint64 if width else np.uint32
 
     def answer(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         asked = [r for r in rows if r["kind"]]
-        keys = [np.frombuffer(r["a"], np.uint64).reshape(width, -1) for r in asked]
+        keys = [np.frombuffer(r["a"], word).reshape(max(1, width), -1) for r in asked]
         sizes = [k.shape[1] for k in keys]
-        both = np.concatenate(keys, axis=1) if keys else np.zeros((width, 0), np.uint64)
+        both = np.concatenate(keys, axis=1) if keys else np.zeros((max(1, width), 0), word)
         _, group = distinct(both[0], both[1] if width == 2 else None)
         many = np.bincount(group, minlength=1)
         flags = np.concatenate([unpack(r["b"], n) for r, n in zip(asked, sizes, strict=True)]) if asked else np.zeros(0, bool)

@@ -15,6 +15,8 @@ from fathom.llm.run_index import RunIndex, ranges
 
 #: Bytes of text in a block; a bucket indexes about as much.
 BLOCK_BYTES = 1 << 20
+#: Bytes of segments in one index: a bucket makes several, each over whole grams.
+INDEX_BYTES = 1 << 18
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -74,10 +76,17 @@ def least_documents(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, length
     anchor = np.minimum.reduceat(flat, np.cumsum(counts) - counts)
     _, kind, many = np.unique(anchor, return_inverse=True, return_counts=True)
     some = np.flatnonzero(many[kind] > 1)
-    if len(some):
-        at = np.cumsum(per) - per
-        index = RunIndex(data[ranges(start[one[some]], lens[one[some]])], lens[one[some]], least[some], length)
-        out[ranges(at[some], per[some])] = index.stream()
+    some = some[np.argsort(kind[some], kind="stable")]
+    at = np.cumsum(per) - per
+    upto = np.cumsum(lens[one[some]])
+    k = 0
+    while k < len(some):  # whole grams, as equal windows have one
+        j = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + INDEX_BYTES, "right")))
+        j = int(np.searchsorted(kind[some], kind[some[j - 1]], "right"))
+        part = some[k:j]
+        index = RunIndex(data[ranges(start[one[part]], lens[one[part]])], lens[one[part]], least[part], length)
+        out[ranges(at[part], per[part])] = index.stream()
+        k = j
     return group, per, out
 
 
@@ -119,7 +128,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
         np.maximum.at(most, group, doc)
         np.minimum.at(least, group, doc)
         many = most > least
-        return X.messages(X.ask(blk, buckets, keys[one], tail=lambda i, j: X.pack(many[i:j])))
+        return X.messages(X.ask_short(blk, buckets, keys[one], lambda i, j: X.pack(many[i:j])))
 
     def routed(t: pa.Table, said=None, echoed: bytes = b""):
         """Segments of shared grams; the distinct ones by gram, with the first row of each in the block."""
@@ -131,7 +140,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
             bits = X.bits_of(said, keys[one], buckets)
             some = np.isin(anchor, value[bits[group]] if len(group) else value)
         bits = some
-        start, count, anchor = start[some], count[some], anchor[some]
+        start, count, anchor = start[some], count[some], H.mix(anchor[some])  # least hashes are small; mixed ones deal evenly
         doc = ids[np.searchsorted(at, start, "right") - 1] if len(start) else start
         end = start + count + length - 1
         rep, of = X.distinct(H.spans_hash(buf, start, end), H.spans_hash(buf, start, end, 1))
@@ -147,7 +156,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
         for b in np.flatnonzero(np.diff(c)).tolist():
             r = rep[c[b] : c[b + 1]]
             lens = count[r] + length - 1
-            out.append((b, blk, 1, doc[r].tobytes() + lens.tobytes(), buf[ranges(start[r], lens)].tobytes()))
+            out.append((b, blk, 1, doc[r].tobytes() + lens.astype(np.int32).tobytes(), buf[ranges(start[r], lens)].tobytes()))
         return X.messages(out)
 
     def bucket(t: pa.Table) -> pa.Table:
@@ -155,13 +164,14 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
         asked = [r for r in rows if r["kind"]]
         out = [(r["bucket"], r["blk"], 0, r["a"], b"") for r in rows if not r["kind"]]
         if asked:
-            heads = [np.frombuffer(r["a"], np.int64).reshape(2, -1) for r in asked]
-            ids, lens = np.concatenate(heads, axis=1)
+            sizes = [len(r["a"]) // 12 for r in asked]
+            ids = np.concatenate([np.frombuffer(r["a"], np.int64, n) for r, n in zip(asked, sizes, strict=True)])
+            lens = np.concatenate([np.frombuffer(r["a"], np.int32, n, 8 * n) for r, n in zip(asked, sizes, strict=True)]).astype(np.int64)
             group, per, least = least_documents(np.frombuffer(b"".join(r["b"] for r in asked), np.uint8), lens, ids, length, gram)
             at, count = np.cumsum(per) - per, per[group]
             late = least[ranges(at[group], count)] < np.repeat(ids, count)
             ends = np.cumsum(count)
-            stops = np.concatenate([[0], ends[np.cumsum([h.shape[1] for h in heads]) - 1]])
+            stops = np.concatenate([[0], ends[np.cumsum(sizes) - 1]])
             out += [(r["bucket"], r["blk"], 1, X.pack(late[i:j]), b"") for r, i, j in zip(asked, stops[:-1], stops[1:], strict=True)]
         return X.messages(out)
 
@@ -192,4 +202,4 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
         return pa.table(out | ({"text": pa.array([x.decode("utf-8", "replace") for x in parts], pa.string())} if with_text else {}))
 
     schema = SCHEMA + ", text string" * with_text
-    return X.rounds(X.blocked(docs, size), first, second, last, schema, X.elsewhere(1), bucket)
+    return X.rounds(X.blocked(docs, size), first, second, last, schema, X.elsewhere(0), bucket)
