@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fnmatch import fnmatchcase
 from functools import reduce
 
@@ -15,11 +15,13 @@ from fathom.functions import geo
 from fathom.functions.analysis import fold
 from fathom.functions.score_expr import compile_score
 from fathom.operators import facets as FA
+from fathom.operators import terms as TE
 from fathom.operators import vectors as V
+from fathom.operators.similar import Like, lexical, resolve
 from fathom.plans import lang
 from fathom.plans.compile import Compiled, Compiler
 
-KINDS = ("FILTER", "FILTER_NOT", "SCORE_MUST", "SCORE_SHOULD", "TERMS", "TERMS_NOT", "NUMERIC_SET", "NUMERIC_SET_NOT", "VECTOR", "VECTOR_SHOULD")
+KINDS = ("FILTER", "FILTER_NOT", "SCORE_MUST", "SCORE_SHOULD", "TERMS", "TERMS_NOT", "NUMERIC_SET", "NUMERIC_SET_NOT", "VECTOR", "VECTOR_SHOULD", "MORE_LIKE_THIS")
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,7 @@ class Clause:
     top_n: int = 10
     similarity: str = "COSINE"
     pre: tuple[str, ...] = ()
+    like: Like | None = None
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -61,6 +64,46 @@ class Sort:
     missing_last: bool = False
 
 
+@dataclass(frozen=True)
+class CountFacet:
+    label: str
+    path: tuple[str, ...] = ()
+    top: int = 10
+    max_hits: int | None = None
+
+
+@dataclass(frozen=True)
+class StatFacet:
+    """Statistics of a field, over all hits or by a facet."""
+
+    name: str
+    label: str | None = None
+    path: tuple[str, ...] = ()
+    top: int = 10
+    quantiles: tuple[float, ...] = ()
+    accuracy: float = 0.001
+    max_hits: int | None = None
+
+
+@dataclass
+class Response:
+    total: DataFrame
+    hits: DataFrame | None
+    facets: dict[tuple, DataFrame]
+    stats: dict[tuple, DataFrame]
+
+
+def merged_facets(asked: tuple) -> list:
+    """Requests that differ in their tops only become one, for the largest top (-1: all)."""
+    best: dict = {}
+    for f in asked:
+        key = replace(f, top=0)
+        known = best.get(key)
+        if known is None or known.top >= 0 and (f.top < 0 or f.top > known.top):
+            best[key] = f
+    return list(best.values())
+
+
 @dataclass(frozen=True)
 class Search:
     clauses: tuple[Clause, ...] = ()
@@ -103,8 +146,6 @@ class Searcher:
         if not c.fields:
             return comp.compile(lang.parse(c.q, c.default_and, c.mm))
         keep = comp.config
-        from dataclasses import replace
-
         comp.config = replace(keep, default_search=c.fields)
         out = comp.compile(lang.parse(c.q, c.default_and, c.mm))
         comp.config = keep
@@ -144,9 +185,9 @@ class Searcher:
         comp = Compiler(self.df, self.config, dict(s.similarity))
         must, should, vectors = [], [], []
         tests: list[Column] = []
-        plain = [c for c in s.clauses if not c.kind.startswith("VECTOR")]
+        plain = [c for c in s.clauses if not c.kind.startswith("VECTOR") and c.kind != "MORE_LIKE_THIS"]
         for c in s.clauses:
-            if c.kind.startswith("VECTOR"):
+            if c.kind.startswith("VECTOR") or c.kind == "MORE_LIKE_THIS":
                 vectors.append(c)
                 continue
             got = self._clause(comp, c)
@@ -167,7 +208,7 @@ class Searcher:
                 must.append(got)
             else:
                 should.append(got)
-        has_must = any(c.kind in ("FILTER", "TERMS", "SCORE_MUST", "NUMERIC_SET") for c in plain) or any(c.kind == "VECTOR" for c in vectors)
+        has_must = any(c.kind in ("FILTER", "TERMS", "SCORE_MUST", "NUMERIC_SET") for c in plain) or any(c.kind != "VECTOR_SHOULD" for c in vectors)
         if should and not has_must and not any(c.kind == "VECTOR_SHOULD" for c in vectors):
             tests.append(reduce(lambda a, b: a | b, [c.match for c in should]))
         df = comp.prepared(self.df)
@@ -175,12 +216,12 @@ class Searcher:
             tests.append(self.drill(comp, d))
         if tests:
             df = df.where(reduce(lambda a, b: a & b, tests))
-        if scored if scored is not None else (bool(must or should or vectors) and (bool(should) or any(c.kind.startswith(("SCORE", "VECTOR")) for c in s.clauses) or any(x.name == "score" for x in s.sorts))):
+        if scored if scored is not None else (bool(must or should or vectors) and (bool(should) or any(c.kind.startswith(("SCORE", "VECTOR", "MORE")) for c in s.clauses) or any(x.name == "score" for x in s.sorts))):
             stats = comp.statistics()
             parts = [c.score(stats) for c in must + should]
             df = df.withColumn("score", reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0))
         for c in vectors:
-            df = self._vector(df, c)
+            df = self._like(df, c) if c.like else self._vector(df, c)
         return df.drop(*(f"_tok_{n}" for n in comp.made))
 
     def _vector(self, df: DataFrame, c: Clause) -> DataFrame:
@@ -188,15 +229,36 @@ class Searcher:
         for q in c.pre:
             comp = Compiler(pool, self.config)
             pool = pool.where(comp.compile(lang.parse(q)).match)
-        name = c.fields[0]
-        f = self.config.stored(name)
-        if f and f.dimension and len(c.values) != f.dimension:
-            raise QueryError(f"{name}: {len(c.values)} numbers for {f.dimension} dimensions")
-        top = V.nearest(pool, name, list(c.values), c.top_n, c.similarity, self.config.id_field).select(F.col(self.config.id_field).alias("_vid"), F.col("similarity").alias("_vs"))
+        for name in c.fields:
+            f = self.config.stored(name)
+            if f and f.dimension and len(c.values) != f.dimension:
+                raise QueryError(f"{name}: {len(c.values)} numbers for {f.dimension} dimensions")
+        top = V.nearest_any(pool, list(c.fields), list(c.values), c.top_n, c.similarity, self.config.id_field).select(F.col(self.config.id_field).alias("_vid"), F.col("similarity").alias("_vs"))
         joined = df.join(F.broadcast(top), df[self.config.id_field] == F.col("_vid"), "left" if c.kind == "VECTOR_SHOULD" else "inner")
         score = F.coalesce(F.col("_vs"), F.lit(0.0)) * F.lit(c.boost or 1.0)
         return joined.withColumn("score", (F.coalesce("score", F.lit(0.0)) if "score" in df.columns else F.lit(0.0)) + score).drop("_vid", "_vs")
 
+    def _like(self, df: DataFrame, c: Clause) -> DataFrame:
+        """Rows like the sources by their terms, their vectors or both; the sources themselves go unless asked for."""
+        like = c.like
+        texts, mean = resolve(self.df, self.config, like)
+        if not texts and mean is None:
+            raise QueryError("the sources have neither text nor vectors")
+        score, match = F.lit(0.0), F.lit(False)
+        pool = self.df
+        if like.ids and not like.include_sources and like.index is None:
+            df, pool = (x.where(~F.col(self.config.id_field).isin(list(like.ids))) for x in (df, pool))
+        if texts and like.text_fields:
+            match, score = lexical(self.df, self.config, like.text_fields, texts, like.mm, **dict(like.options))
+            score = score * like.text_weight
+        if mean is not None:
+            kind = "COSINE" if self.config.stored(like.vector_field).type == "VECTOR" else "DOT_PRODUCT"
+            top = V.nearest(pool, like.vector_field, mean, like.top_n, kind, self.config.id_field)
+            df = df.join(F.broadcast(top.select(F.col(self.config.id_field).alias("_vid"), F.col("similarity").alias("_vs"))), F.col(self.config.id_field) == F.col("_vid"), "left")
+            match, score = match | F.col("_vid").isNotNull(), F.when(match, score).otherwise(0.0) + F.coalesce("_vs", F.lit(0.0)) * like.vector_weight
+        before = F.coalesce("score", F.lit(0.0)) if "score" in df.columns else F.lit(0.0)
+        return df.where(match).withColumn("score", before + score * F.lit(c.boost or 1.0)).drop("_vid", "_vs")
+
     # facets, statistics
 
     def facet_paths(self, comp: Compiler, label: str) -> Column:
@@ -216,9 +278,16 @@ class Searcher:
             ok = reduce((lambda a, b: a & b) if d.how == "AND" else (lambda a, b: a | b), has)
         return ~ok if d.exclude else ok
 
-    def count_facet(self, s: Search, label: str, path: tuple = (), top: int = 10) -> DataFrame:
-        """(label, count) of the children of a path among hits, most frequent first, ties by label; top -1: all."""
-        hits = self.hits(s, scored=False)
+    def few(self, hits: DataFrame, most: int | None) -> DataFrame:
+        """The hits, or none of them if there are more than `most`."""
+        return hits if most is None or hits.count() <= most else hits.limit(0)
+
+    def count_facet(self, s: Search, label: str, path: tuple = (), top: int = 10, max_hits: int | None = None) -> DataFrame:
+        """(label, count) of the children of a path among hits, most frequent first, ties by label; top -1: all.
+
+        Nothing is counted if there are more than `max_hits` hits.
+        """
+        hits = self.few(self.hits(s, scored=False), max_hits)
         return FA.count(hits, self.facet_paths(Compiler(hits, self.config), label), path, top)
 
     def counts(self, s: Search, labels: list[str]) -> DataFrame:
@@ -227,12 +296,12 @@ class Searcher:
         comp = Compiler(hits, self.config)
         return FA.count_many(hits, {x: self.facet_paths(comp, x) for x in labels})
 
-    def stat(self, s: Search, name: str, facet: str | None = None, path: tuple = (), top: int = 10, quantiles: tuple[float, ...] = (), accuracy: float = 0.001) -> DataFrame:
+    def stat(self, s: Search, name: str, facet: str | None = None, path: tuple = (), top: int = 10, quantiles: tuple[float, ...] = (), accuracy: float = 0.001, max_hits: int | None = None) -> DataFrame:
         """min, max, sum, doc_count, all_doc_count, value_count of a field over hits, or by facet, largest sum first."""
         f = self.config.stored(name)
         if not f or not f.sort or f.type not in (*NUMBERS, "DATE", "BOOL"):
             raise QueryError(f"{name} isn't a sortable number")
-        hits = self.hits(s, scored=False)
+        hits = self.few(self.hits(s, scored=False), max_hits)
         comp = Compiler(hits, self.config)
         v = comp.values(f)
         if f.type in ("DATE", "BOOL"):
@@ -278,9 +347,7 @@ class Searcher:
     def top(self, s: Search) -> DataFrame:
         """The page of hits that a request asks for: sorted, skipped to `start` or `after`, projected, `amount` rows."""
         if not s.sorts:
-            from dataclasses import replace
-
-            s = replace(s, sorts=(Sort("score", True),))
+                s = replace(s, sorts=(Sort("score", True),))
         scores = any(x.name == "score" for x in s.sorts)
         hits = self.hits(s, scored=True if scores else None)
         if scores and "score" not in hits.columns:
@@ -298,6 +365,26 @@ class Searcher:
     def total(self, s: Search) -> DataFrame:
         return self.hits(s, scored=False).agg(F.count("*").alias("total_hits"))
 
+    def highlighted(self, s: Search, name: str, pre: str = "<em>", post: str = "</em>", number: int = 1, length: int = 100) -> DataFrame:
+        """The page with a column `highlight`: fragments of a field with the words of the request's clauses marked."""
+        comp = Compiler(self.df, self.config)
+        for c in s.clauses:
+            if c.q:
+                self._clause(comp, c)
+        own = self.config.searched(name)[0]
+        words = sorted({w for n, w in comp.terms if self.config.searched(n)[0] == own})
+        page = self.top(s)
+        return page.withColumn("highlight", TE.fragments(F.col(own.name), words, pre, post, number, length) if words else F.array().cast("array<string>"))
+
+    def run(self, s: Search, facets: tuple[CountFacet, ...] = (), stats: tuple[StatFacet, ...] = ()) -> Response:
+        """All outputs of one request, each a lazy plan. Facets that are asked for twice count once, for the larger top."""
+        return Response(
+            self.total(s),
+            self.top(s) if s.amount else None,
+            {(f.label, f.path): self.count_facet(s, f.label, f.path, f.top, f.max_hits) for f in merged_facets(facets)},
+            {(f.name, f.label, f.path): self.stat(s, f.name, f.label, f.path, f.top, f.quantiles, f.accuracy, f.max_hits) for f in merged_facets(stats)},
+        )
+
     def cached_top(self, s: Search) -> DataFrame:
         """The same page for an equal request without running it again, until `forget`."""
         key = json.dumps(s, default=lambda o: o.__dict__, sort_keys=True)
@@ -360,8 +447,6 @@ def project(df: DataFrame, id_field: str, fields: tuple[str, ...] = (), masked:
 
 def search_all(searcher: Searcher, s: Search, page: int = 1000):
     """All hits, page by page with a cursor; rows reach the caller as they are asked for."""
-    from dataclasses import replace
-
     names = [f"_k{i}" for i in range(len(s.sorts) + 1)]
     last = None
     while True:

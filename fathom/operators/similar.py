@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.config import IndexConfig, QueryError
@@ -50,8 +51,8 @@ def pick_terms(df: DataFrame, config: IndexConfig, field: str, texts: list[str],
     return [(w, tf[w], d) for _, w, d in sorted(ranked)[:max_terms]], stats
 
 
-def more_like(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts: list[str], exclude: list | None = None, mm: int = 1, **options) -> DataFrame:
-    """Rows that share at least `mm` of the picked terms of a field, with their score, best first."""
+def lexical(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts: list[str], mm: int = 1, **options) -> tuple[Column, Column]:
+    """Which rows share at least `mm` of the picked terms of a field, and their score."""
     score, match = F.lit(0.0), F.lit(False)
     comp = Compiler(df, config)
     for f in fields:
@@ -65,12 +66,73 @@ def more_like(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts
         for (w, _, d), h in zip(words, has, strict=True):
             tf = F.size(F.filter(tok, equals(w))).cast("double")
             score = score + F.when(h, similarity("bm25", tf, size, stats["n"], d, stats[("mean", f)] or 1.0)).otherwise(0.0)
+    return match, score
+
+
+def more_like(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts: list[str], exclude: list | None = None, mm: int = 1, **options) -> DataFrame:
+    """Rows that share at least `mm` of the picked terms of a field, with their score, best first."""
+    match, score = lexical(df, config, fields, texts, mm, **options)
     out = df.where(match).withColumn("score", score)
     if exclude:
         out = out.where(~F.col(config.id_field).isin(exclude))
     return out.orderBy(F.desc("score"), config.id_field)
 
 
+@dataclass(frozen=True)
+class Like:
+    """What a similar-document clause starts from and how it weighs its two parts.
+
+    Sources are ids of stored documents (of `index`, by default the searched table), texts or vectors; all are taken.
+    """
+
+    ids: tuple = ()
+    texts: tuple[str, ...] = ()
+    vectors: tuple[tuple[float, ...], ...] = ()
+    text_fields: tuple[str, ...] = ()
+    vector_field: str | None = None
+    top_n: int = 100
+    mm: int = 1
+    text_weight: float = 1.0
+    vector_weight: float = 1.0
+    include_sources: bool = False
+    index: DataFrame | None = None
+    options: tuple[tuple[str, float], ...] = ()
+
+    def check(self, config: IndexConfig) -> None:
+        if not (self.ids or self.texts or self.vectors):
+            raise QueryError("a similar-document clause needs ids, texts or vectors")
+        if not (self.text_fields or self.vector_field):
+            raise QueryError("a similar-document clause needs text fields or a vector field")
+        for name in self.text_fields:
+            found = config.searched(name)
+            if not found or found[0].type != "STRING":
+                raise QueryError(f"{name} has no text to compare")
+        f = config.stored(self.vector_field) if self.vector_field else None
+        if self.vector_field and (not f or f.type not in ("VECTOR", "UNIT_VECTOR")):
+            raise QueryError(f"{self.vector_field} isn't a vector field")
+
+
+def resolve(df: DataFrame, config: IndexConfig, like: Like) -> tuple[list[str], list[float] | None]:
+    """The source texts, and the mean of the source vectors (of length 1 for unit vectors)."""
+    like.check(config)
+    stored = [config.searched(n)[0].name for n in like.text_fields]
+    texts, vectors = list(like.texts), [list(map(float, v)) for v in like.vectors]
+    if like.ids:
+        columns = list(dict.fromkeys([*stored, *([like.vector_field] if like.vector_field else [])]))
+        for r in sources(like.index if like.index is not None else df, config.id_field, list(like.ids), columns):
+            texts += [t for n in stored if r[n] is not None for t in (r[n] if isinstance(r[n], list) else [r[n]])]
+            if like.vector_field and r[like.vector_field] is not None:
+                vectors.append([float(x) for x in r[like.vector_field]])
+    if not like.vector_field or not vectors:
+        return texts, None
+    f = config.stored(like.vector_field)
+    if len({len(v) for v in vectors} | ({f.dimension} if f.dimension else set())) > 1:
+        raise QueryError(f"{f.name}: vectors of different dimensions")
+    mean = [sum(x) / len(vectors) for x in zip(*vectors, strict=True)]
+    size = sum(x * x for x in mean) ** 0.5
+    return texts, [x / size for x in mean] if f.type == "UNIT_VECTOR" and size else mean
+
+
 def near_vectors(df: DataFrame, name: str, id_field: str, ids: list, n: int = 100, unit: bool = True, exclude: bool = True, kind: str = "COSINE") -> DataFrame:
     """The nearest rows to the centroid of some documents' vectors."""
     some = df.where(F.col(id_field).isin(ids))

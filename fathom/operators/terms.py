@@ -41,6 +41,11 @@ def term_list(df: DataFrame, tokens: Column, start: str | None = None, end: str
     return out if amount < 0 else out.limit(amount)
 
 
+def behind(last: str) -> str:
+    """The start of the next page behind the last term of one."""
+    return last + "\0"
+
+
 def fuzzy_terms(terms: DataFrame, word: str, most: int = 2, prefix: int = 0, swaps: bool = False) -> DataFrame:
     """Terms within an edit distance, with a score that falls with it."""
     t = terms.where(F.col("term").startswith(word[:prefix])) if prefix else terms

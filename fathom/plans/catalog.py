@@ -12,8 +12,10 @@ from fathom.functions import analysis
 from fathom.operators import facets as FA
 from fathom.operators import ml, similar, store, terms
 from fathom.operators import vectors as V
-from fathom.operators.search import Clause, DrillDown, Search, Searcher, Sort, project, range_text, union_indexes, values_text
+from fathom.operators.search import Clause, CountFacet, DrillDown, Search, Searcher, Sort, project, range_text, union_indexes, values_text
 from fathom.plans.compile import Compiler
+from fathom.sources.readers import typed
+from fathom.sources.writers import as_text
 from fathom.streaming.nrt import windowed_facets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,6 +246,11 @@ add("f_drill_mm", f"select user_id from {USERS_SQL} where (list_contains(days, 1
 add("f_many", "select 'l_returnflag' as dimension, l_returnflag as label, count(*) as \"count\" from lineitem where l_quantity < 25 group by all union all select 'l_linestatus', l_linestatus, count(*) from lineitem where l_quantity < 25 group by all union all select 'l_linenumber', l_linenumber::varchar, count(*) from lineitem where l_quantity < 25 group by all", lambda s, d: lines(s, d).counts(Search((Clause("FILTER", "l_quantity<25"),)), ["l_returnflag", "l_linestatus", "l_linenumber"]))
 add("f_empty", "select lang as label, count(*) as \"count\" from documents where false group by 1", lambda s, d: docs(s, d).count_facet(Search((Clause("FILTER", "text:zzzznothing"),)), "lang"))
 
+add("f_maxhits", "select o_orderstatus as label, count(*) as \"count\" from orders where (select count(*) from orders) <= 100 group by 1", lambda s, d: orders(s, d).count_facet(Search(), "o_orderstatus", max_hits=100))
+add("f_dup_merge", "select o_orderpriority as label, count(*) as \"count\" from orders group by 1 order by 2 desc, 1 limit 4", lambda s, d: orders(s, d).run(Search(), facets=(CountFacet("o_orderpriority", top=2), CountFacet("o_orderpriority", top=4))).facets["o_orderpriority", ()])
+add("f_error", "select o_orderpriority as label, count(*) as \"count\", 0::bigint as max_error, false as possible_missing from orders group by 1", lambda s, d: orders(s, d).count_facet(Search(), "o_orderpriority", top=-1).withColumns({"max_error": F.lit(0).cast("long"), "possible_missing": F.lit(False)}))
+add("f_order", "select p_brand as label, count(*) as \"count\" from part where p_size < 10 group by 1 order by 2 desc, 1 limit 5", lambda s, d: part(s, d).count_facet(Search((Clause("FILTER", "p_size<10"),)), "p_brand", top=5))
+
 # statistics
 STATS = "min({0}) as min, max({0}) as max, round(sum({0}), 2) as sum, count({0}) as doc_count, count(*) as all_doc_count, count({0}) as value_count"
 
@@ -261,6 +268,8 @@ add("st_pct", "with r as (select l_returnflag as label, l_quantity as x, row_num
 G = 1.001 / 0.999
 SK = f"with r as (select o_orderpriority as label, o_totalprice as x, row_number() over (partition by o_orderpriority order by o_totalprice) - 1 as k, count(*) over (partition by o_orderpriority) as n from orders) select label, round(2 * pow({G!r}, ceil(ln(max(x) filter (k = floor(0.5::double * (n - 1)))) / ln({G!r}))) / ({G!r} + 1), 3) as q0, round(2 * pow({G!r}, ceil(ln(max(x) filter (k = floor(0.99::double * (n - 1)))) / ln({G!r}))) / ({G!r} + 1), 3) as q1 from r group by 1"
 add("st_pct_sketch", SK, lambda s, d: FA.quantiles(t(s, d, "orders").withColumnRenamed("o_orderpriority", "label"), "o_totalprice", (0.5, 0.99), 0.001, ["label"]).select("label", F.round("q0", 3).alias("q0"), F.round("q1", 3).alias("q1")))
+add("st_empty", "select lang as label, null::double as min, null::double as max, null::double as sum, 0::bigint as doc_count, count(*) as all_doc_count, 0::bigint as value_count from documents group by 1", lambda s, d: Searcher(t(s, d, "documents").withColumn("none", F.lit(None).cast("double")), IndexConfig("d", "doc_id", (FC("lang", facet="FLAT"), FC("none", "DOUBLE", sort="STANDARD")))).stat(Search(), "none", "lang"))
+add("st_err", f"select l_linestatus as label, {STATS.format('l_discount')}, 0.0::double as max_sum_error from lineitem group by 1", lambda s, d: stats(lines(s, d).stat(Search(), "l_discount", "l_linestatus")).withColumn("max_sum_error", F.lit(0.0)))
 add("agg_count", "select count(*) as total_hits from lineitem", lambda s, d: lines(s, d).total(Search()))
 add("st_events", "select count(*) as n, round(sum(value), 2) as total, event_type, epoch(time_bucket(interval '1 hour', ts))::bigint as hour from events group by event_type, hour", lambda s, d: windowed_facets(t(s, d, "events"), "ts", "event_type", "value").select("event_type", "n", F.round("total", 2).alias("total"), F.unix_seconds(F.col("window_start").cast("timestamp")).alias("hour")))
 
@@ -274,15 +283,34 @@ add("v_sim_euclid", f"select vec_id, round(1 / (1 + pow(list_distance({E_}, {QSQ
 add("v_sim_mip", ORACLES["v_sim_dot"], lambda s, d: V.nearest(t(s, d, "embeddings"), "embedding", QUERY, 50, "MAX_INNER_PRODUCT", "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity")))
 add("v_prefilter", f"select vec_id from embeddings where label in (2, 3) order by list_cosine_similarity({E_}, {QSQL}) desc, vec_id limit 20", lambda s, d: emb(s, d).hits(Search((Clause("VECTOR", fields=("embedding",), values=tuple(QUERY), top_n=20, pre=("label:[2 TO 3]",)),))).select("vec_id"))
 add("q_vector", f"select vec_id from (select * from embeddings order by list_cosine_similarity({E_}, {QSQL}) desc, vec_id limit 40) where label = 3", lambda s, d: emb(s, d).hits(Search((Clause("VECTOR", fields=("embedding",), values=tuple(QUERY), top_n=40), Clause("FILTER", "label:3")))).select("vec_id"))
+REV = f"list_reverse({E_})"
+add("v_fields", f"select vec_id from embeddings order by greatest(list_cosine_similarity({E_}, {QSQL}), list_cosine_similarity({REV}, {QSQL})) desc, vec_id limit 25", lambda s, d: Searcher(t(s, d, "embeddings").withColumn("back", F.reverse("embedding")), IndexConfig("e", "vec_id", (FC("embedding", "VECTOR", dimension=64), FC("back", "VECTOR", dimension=64)))).hits(Search((Clause("VECTOR", fields=("embedding", "back"), values=tuple(QUERY), top_n=25),))).select("vec_id"))
 add("q_vector_should", f"select vec_id, round(coalesce(c, 0), 6) as score from embeddings left join (select vec_id as v, list_cosine_similarity({E_}, {QSQL}) as c from embeddings order by c desc, v limit 30) on v = vec_id where label = 1", lambda s, d: emb(s, d).hits(Search((Clause("FILTER", "label:1"), Clause("VECTOR_SHOULD", fields=("embedding",), values=tuple(QUERY), top_n=30))), scored=False).select("vec_id", F.round("score", 6).alias("score")))
 add("total_hits_vector", "select least(count(*), 25)::bigint as total_hits from embeddings", lambda s, d: emb(s, d).total(Search((Clause("VECTOR", fields=("embedding",), values=tuple(QUERY), top_n=25),))))
 add("v_oversample", f"select vec_id from embeddings order by list_cosine_similarity({E_}, {QSQL}) desc, vec_id limit 20", lambda s, d: V.nearest_oversampled(t(s, d, "embeddings"), "embedding", QUERY, 20, "INT8", 4.0, "COSINE", "vec_id").select("vec_id"))
-add("v_quant", None, lambda s, d: V.nearest_oversampled(t(s, d, "embeddings"), "embedding", QUERY, 20, "BBQ", 0.0, "COSINE", "vec_id").select("vec_id"))
+SIGNS = "[" + ", ".join(f"{x}::double" for x in QUERY) + "]"
+add("v_quant", f"select vec_id from (select vec_id, embedding from embeddings order by round(list_dot_product(list_transform({E_}, lambda x: sign(x)::double), {SIGNS}), 9) desc, vec_id limit 60) order by list_cosine_similarity({E_}, {QSQL}) desc, vec_id limit 20", lambda s, d: V.nearest_oversampled(t(s, d, "embeddings"), "embedding", QUERY, 20, "BBQ", 0.0, "COSINE", "vec_id").select("vec_id"))
 CENT = "(select list(m order by i) as c from (select i, avg(embedding[i]::double) as m from embeddings, range(1, 65) r(i) where vec_id in (1, 2, 3) group by i))"
 add("m_vec", f"select vec_id from embeddings, {CENT} where vec_id not in (1, 2, 3) order by list_cosine_similarity({E_}, c) desc, vec_id limit 30", lambda s, d: similar.near_vectors(t(s, d, "embeddings"), "embedding", "vec_id", [1, 2, 3], 30).select("vec_id"))
 
 # similar documents, terms
-add("m_lex", None, lambda s, d: similar.more_like(t(s, d, "documents"), DOCS, ("text",), [r[1] for r in similar.sources(t(s, d, "documents"), "doc_id", [3], ["text"])], exclude=[3], max_terms=10).select("doc_id", F.round("score", 6).alias("score")).limit(50))
+def likeness(source: int, most: int, limit: str = "order by s desc, doc_id limit 50") -> str:
+    """Documents like one document by its telling terms, in SQL."""
+    return f"""with d as (select doc_id, {T_TEXT} as t from documents), n as (select count(*) as n, avg(case when len(t) > 0 then len(t) end) as mean from d),
+p as (select doc_id, w, count(*) as tf from (select doc_id, unnest(t) as w from d) group by all), f as (select w, count(*) as df from p group by w),
+pick as (select w, df from p join f using (w), n where doc_id = {source} and tf >= 2 and df between 5 and greatest(1, floor(n * 0.25)) order by -tf * (1 + ln((n + 1) / (df + 1))), w limit {most}),
+found as (select doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))) as s from p join pick using (w) join d using (doc_id), n where doc_id <> {source} group by doc_id)
+select doc_id, round(s, 6) as score from found {limit}"""
+
+
+add("m_lex", likeness(3, 10), lambda s, d: similar.more_like(t(s, d, "documents"), DOCS, ("text",), [r[1] for r in similar.sources(t(s, d, "documents"), "doc_id", [3], ["text"])], exclude=[3], max_terms=10).select("doc_id", F.round("score", 6).alias("score")).limit(50))
+like = lambda **how: (Clause("MORE_LIKE_THIS", like=similar.Like(text_fields=("text",), **how)),)
+add("q_mlt", likeness(3, 8, ""), lambda s, d: docs(s, d).hits(Search(like(ids=(3,), options=(("max_terms", 8),)))).select("doc_id", F.round("score", 6).alias("score")))
+add("m_resolve", likeness(5, 6, ""), lambda s, d: docs(s, d).hits(Search(like(ids=(5,), index=t(s, d, "documents").where("doc_id < 50"), options=(("max_terms", 6),)))).select("doc_id", F.round("score", 6).alias("score")).where("doc_id <> 5"))
+add("m_exclude", f"select doc_id from ({likeness(3, 8, '')}) where doc_id % 2 = 0 union all select 3", lambda s, d: docs(s, d).hits(Search(like(ids=(3,), include_sources=True, options=(("max_terms", 8),)))).select("doc_id").where("doc_id % 2 = 0 or doc_id = 3"))
+BOTH = IndexConfig("both", "doc_id", (*DOCS.fields, FC("embedding", "UNIT_VECTOR", dimension=64)), ("text",))
+both = lambda s, d: Searcher(t(s, d, "documents").join(t(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id"), BOTH)
+add("m_hybrid", None, lambda s, d: both(s, d).hits(Search((Clause("MORE_LIKE_THIS", like=similar.Like(ids=(3, 7), text_fields=("text",), vector_field="embedding", top_n=20, text_weight=0.5, vector_weight=2.0)),))).select("doc_id", F.round("score", 6).alias("score")))
 TERM = f"(select doc_id, unnest({T_TEXT}) as term from documents)"
 text_tokens = lambda s, d: Compiler(t(s, d, "documents"), DOCS).tokens("text")
 add("t_terms", f"select term, count(distinct doc_id) as doc_freq, count(*) as term_freq from {TERM} where term >= 'a' and term < 'c' and regexp_full_match(term, '[a-z]+') group by term having count(distinct doc_id) >= 3 order by term limit 200", lambda s, d: terms.term_list(t(s, d, "documents"), text_tokens(s, d), "a", "c", "[a-z]+", None, 3, amount=200))
@@ -297,6 +325,10 @@ add("an_summary", f"with {DT} select term, sum(tf)::bigint as tf, count(*) as do
 add("h_highlight", "select p_partkey, regexp_replace(p_name, '(?i)\\b(red|blue)\\b', '<em>\\1</em>', 'g') as marked from part", lambda s, d: t(s, d, "part").select("p_partkey", terms.mark(F.col("p_name"), ["red", "blue"]).alias("marked")))
 add("h_fragments", None, lambda s, d: t(s, d, "documents").where("lang = 'en'").orderBy("doc_id").limit(50).select("doc_id", terms.fragments(F.col("text"), ["the", "of"]).alias("fragments")))
 
+add("h_terms", "select doc_id, contains(lower(text), 'password') as marked from documents where list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 'password')", lambda s, d: docs(s, d).highlighted(Search((Clause("FILTER", "text:password"),), sorts=(Sort("doc_id"),), amount=100_000), "text").select("doc_id", F.get("highlight", 0).contains("<em>").alias("marked")))
+add("an_override", "select doc_id, len(regexp_extract_all(text, '\\S+'))::bigint as n from documents where lang = 'en'", lambda s, d: t(s, d, "documents").where("lang = 'en'").select("doc_id", F.size(analysis.tokens(F.col("text"), "whitespace")).cast("long").alias("n")))
+add("t_last", f"select term, count(distinct doc_id) as doc_freq from {TERM} where term > 'cb' and regexp_full_match(term, '[a-z]+') group by term order by term limit 50", lambda s, d: terms.term_list(t(s, d, "documents"), text_tokens(s, d), terms.behind("cb"), keep="[a-z]+", amount=50).select("term", "doc_freq"))
+
 # analysis
 for n in (2, 3, 4, 5):
     add(f"a_shingle{n}", f"select doc_id, len(s)::bigint as n, s[1] as first, s[-1] as last from (select doc_id, list_transform(range(1, len(t) - {n - 2}), lambda i: array_to_string(t[i:i + {n - 1}], ' ')) as s from (select doc_id, {T_TEXT} as t from documents where lang = 'en'))", lambda s, d, n=n: t(s, d, "documents").where("lang = 'en'").select("doc_id", analysis.FILTERS[f"shingle{n}"][0](text_tokens(s, d)).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.get("s", 0).alias("first"), F.try_element_at("s", F.lit(-1)).alias("last")))
@@ -313,8 +345,30 @@ analyzer("a_upper", "list_transform(regexp_extract_all(p_name, '\\w+'), lambda x
 analyzer("a_html", r"regexp_extract_all(lower(regexp_replace(html, '<[^>]*>', '', 'g')), '[\p{L}\p{N}_]+')", "html", "pages", "page_id", "standardHtml")
 analyzer("a_concat_all", r"[lower(regexp_replace(c_name, '[^\p{L}\p{N}]', '', 'g'))]", "c_name", "customer", "c_custkey", "lcConcatAll")
 analyzer("a_possessive", "list_transform(regexp_extract_all(p_name, '\\w+'), lambda x: regexp_replace(x, '''s$', ''))", steps="tok_standard+possessive")
-for name, steps in {"a_ascii": "tok_standard+lower+ascii", "a_stop": "tok_standard+lower+stop", "a_kstem": "kstem", "a_minstem": "minStem", "a_snowball": "tok_standard+lower+snowball", "a_british_us": "tok_standard+lower+british_us", "a_german": "tok_standard+lower+german", "a_case_protect": "tok_standard+case_protect+lower", "a_named": "threeThreeShingle"}.items():
-    analyzer(name, None, "text", "benchmark", "item_id", steps)
+def chained(x: str, pairs) -> str:
+    for old, new in pairs:
+        x = f"regexp_replace({x}, '{old}', '{new}', 'g')"
+    return x
+
+
+ASCII = "strip_accents(replace(replace(replace(x, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))"
+WORDS, LOW = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')", T_TEXT
+US = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in analysis.BRITISH.items()) + "}"
+MIN = "case when length(x) > 3 and ends_with(x, 's') then case when regexp_matches(x, '[^ae]ies$') then left(x, -3) || 'y' when regexp_matches(x, '[aeo]es$') then x when regexp_matches(x, '[^us]s$') then left(x, -1) else x end else x end"
+for name, steps, sql in (
+    ("a_lower", "tok_standard+lower", LOW),
+    ("a_stop", "tok_standard+lower+stop", f"list_filter({LOW}, lambda x: x not in ({', '.join(repr(w) for w in analysis.STOP)}))"),
+    ("a_minstem", "tok_standard+lower+min_stem", f"list_transform({LOW}, lambda x: {MIN})"),
+    ("a_british_us", "tok_standard+lower+british_us", f"list_transform({LOW}, lambda x: coalesce({US}[x], x))"),
+    ("a_german", "tok_standard+lower+german", f"list_transform({LOW}, lambda x: {chained('x', (('ä', 'a'), ('ö', 'o'), ('ü', 'u'), ('ae', 'a'), ('oe', 'o'), ('([^q]|^)ue', chr(92) + '1u'), ('([^q]|^)ue', chr(92) + '1u'), ('ß', 'ss')))})"),
+    ("a_ascii", "tok_standard+lower+ascii", f"list_transform({LOW}, lambda x: {ASCII})"),
+    ("a_case_protect", "tok_standard+case_protect+lower", f"list_transform({WORDS}, lambda x: case when x = 'AIDS' then x else lower(x) end)"),
+    ("a_named", "threeThreeShingle", f"list_transform(range(1, len({LOW}) - 1), lambda i: {ASCII.replace('(x,', f"(array_to_string({LOW}[i:i + 2], ' '),")})"),
+    ("a_kstem", "kstem", None),
+    ("a_snowball", "tok_standard+lower+snowball", None),
+):
+    analyzer(name, sql, "text", "benchmark", "item_id", steps)
+add("a_gap", "select 1 as n, false as \"match\"", lambda s, d: Searcher(s.createDataFrame([(1, ["one two", "three four"])], "id long, v array<string>"), IndexConfig("g", "id", (FC("v", "STRING", {"v": "standard"}),), ("v",))).hits(Search((Clause("FILTER", '"two three"'),)), scored=False).agg(F.lit(1).alias("n"), (F.count("*") > 0).alias("match")))
 add("a_minhash", None, lambda s, d: t(s, d, "benchmark").select("item_id", analysis.minhash(analysis.FILTERS["shingle2"][0](analysis.tokens(F.col("text"), "standard")), 16).alias("signature")))
 add("s_levenshtein", "select p_partkey, levenshtein(p_name, 'red blue') as n from part", lambda s, d: t(s, d, "part").select("p_partkey", F.levenshtein("p_name", F.lit("red blue")).cast("long").alias("n")))
 
@@ -326,6 +380,11 @@ add("fetch_by_id", "select p_partkey, p_name from part where p_partkey = 7", lam
 add("batch_fetch", "select i as p_partkey, p_name, p_name is not null as found from (values (1), (5), (99999999)) v(i) left join part on p_partkey = i", lambda s, d: store.batch_fetch(t(s, d, "part"), s.createDataFrame([(1,), (5,), (99999999,)], "p_partkey long"), "p_partkey").select("p_partkey", "p_name", "found"))
 add("project_fields", "select o_orderkey, o_orderstatus from orders", lambda s, d: project(t(s, d, "orders"), "o_orderkey", ("o_orderstatus",)))
 add("mask_fields", "select r_regionkey from region", lambda s, d: project(t(s, d, "region"), "r_regionkey", (), ("r_name",)))
+add("fetch_type", "select o_orderkey from orders where o_orderkey < 100", lambda s, d: project(t(s, d, "orders").where("o_orderkey < 100"), "o_orderkey", ("o_orderkey",)))
+add("batch_delete", f"select lid from {L_TABLE} where lid not in (select lid from {L_TABLE} where l_returnflag = 'R')", lambda s, d: store.delete(lines(s, d).df, lines(s, d).hits(Search((Clause("FILTER", "l_returnflag:R"),)), scored=False), "lid").select("lid"))
+add("sink_cells", "select p_partkey::varchar as p_partkey, printf('%.3f', p_retailprice) as p_retailprice, p_name from part", lambda s, d: as_text(t(s, d, "part").select("p_partkey", "p_retailprice", "p_name")))
+add("src_typed_get", "select c_custkey, try_cast(regexp_extract(c_name, '[0-9]+') as bigint) as number, coalesce(try_cast(c_mktsegment as bigint), -1) as none from customer", lambda s, d: t(s, d, "customer").select("c_custkey", typed(F.regexp_extract("c_name", "[0-9]+", 0), "long").alias("number"), typed(F.col("c_mktsegment"), "long", -1).cast("long").alias("none")))
+add("rest_csv", "select 'o_orderstatus' as facetName, o_orderstatus as facetKey, count(*) as facetValue from orders group by all", lambda s, d: orders(s, d).counts(Search(), ["o_orderstatus"]).toDF("facetName", "facetKey", "facetValue"))
 add("project_nested", "select o_orderkey, o_totalprice as price from orders where o_orderkey < 500", lambda s, d: project(t(s, d, "orders").where("o_orderkey < 500").select("o_orderkey", F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")).alias("o")), "o_orderkey", ("o",), ("o.status",)).select("o_orderkey", "o.*"))
 add("rest_truncate", "select doc_id, substr(text, 1, 40) as text from documents", lambda s, d: t(s, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("text")))
 add("i_fields", "select * from (values ('doc_id'), ('text'), ('lang'), ('source'), ('n_chars')) v(name)", lambda s, d: s.createDataFrame([(f.name,) for f in DOCS.fields], "name string"))
