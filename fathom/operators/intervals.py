@@ -166,22 +166,10 @@ def matches(tokens: Column, fn: tuple) -> Column:
     return ok
 
 
-def sloppy(tokens: Column, words: list[str], slop: int) -> Column:
-    """A phrase whose words may move by `slop` positions in all."""
-
-    def near(a) -> bool:
-        """Sweeps over where each word would have the phrase begin; equal words take different positions."""
-        begins = sorted((p - i, i, p) for i, w in enumerate(words) for p, t in enumerate(a) if t == w)
-        low = 0
-        for high, (begin, _, _) in enumerate(begins):
-            while begins[low][0] < begin - slop:
-                low += 1
-            some = begins[low : high + 1]
-            if len({i for _, i, _ in some}) == len(words) and (plain or assigned(some)):
-                return True
-        return False
-
-    plain = len(set(words)) == len(words)
+def sloppy_match(tokens: list, words: list[str], slop: int) -> bool:
+    """Sweeps over where each word would have the phrase begin; equal words take different positions."""
+    begins = sorted((p - i, i, p) for i, w in enumerate(words) for p, t in enumerate(tokens) if t == w)
+    plain, low = len(set(words)) == len(words), 0
 
     def assigned(some: list[tuple[int, int, int]]) -> bool:
         """Whether every word of the phrase finds a position of its own (augmenting paths)."""
@@ -201,9 +189,21 @@ def sloppy(tokens: Column, words: list[str], slop: int) -> Column:
 
         return all(place(i, set()) for i in options)
 
+    for high, (begin, _, _) in enumerate(begins):
+        while begins[low][0] < begin - slop:
+            low += 1
+        some = begins[low : high + 1]
+        if len({i for _, i, _ in some}) == len(words) and (plain or assigned(some)):
+            return True
+    return False
+
+
+def sloppy(tokens: Column, words: list[str], slop: int) -> Column:
+    """A phrase whose words may move by `slop` positions in all."""
+
     @F.pandas_udf("boolean")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: a is not None and near(list(a)))
+        return s.map(lambda a: a is not None and sloppy_match(list(a), words, slop))
 
     ok = F.coalesce(run(tokens), F.lit(False))
     for w in dict.fromkeys(words):

@@ -256,7 +256,7 @@ class Compiler:
     def typed(self, f: FieldConfig, node: lang.Node) -> Column:
         if f.type in NUMBERS:
             if isinstance(node, lang.Range) and node.low == node.high == "*":
-                return self.stored(f).isNotNull()
+                return self.any(f, lambda x: x.isNotNull())
             return self.any(f, lambda x: self.compare(x, f.type, node))
         if f.type == "BOOL":
             t = node.text.strip().lower() if isinstance(node, lang.Text) else ""

@@ -1,7 +1,7 @@
 """The query language: trees, errors, date periods and score expressions."""
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fathom.config import FieldConfig, IndexConfig, QueryError
@@ -78,6 +78,26 @@ def test_interval_functions():
     assert n("fn:wildcard(str*)") and n("fn:fuzzyTerm(pinq 1)") and n("fn:unorderedNoOverlaps(big pink)")
 
 
+@given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), min_size=2, max_size=3), st.integers(0, 3))
+@settings(max_examples=150, deadline=None)
+def test_sweeps_find_what_combinations_find(tok, words, slop):
+    from itertools import permutations, product
+
+    where = [[i for i, t in enumerate(tok) if t == w] for w in words]
+
+    def least(ok):
+        spans = {(min(c), max(c)) for c in product(*where) if len(set(c)) == len(c) and ok(c)}
+        return sorted(s for s in spans if not any(o != s and s[0] <= o[0] and o[1] <= s[1] for o in spans))
+
+    text = tuple(("text", [w]) for w in words)
+    got = lambda name: sorted(s[:2] for s in intervals.evaluate((name, text), tok))
+    assert got("ordered") == least(lambda c: list(c) == sorted(c))
+    assert got("unordered") == least(lambda c: True)
+    assert got("phrase") == least(lambda c: all(y - x == 1 for x, y in zip(c, c[1:], strict=False)))
+    near = any(max(p - i for i, p in enumerate(c)) - min(p - i for i, p in enumerate(c)) <= slop for c in permutations(range(len(tok)), len(words)) if [tok[p] for p in c] == words)
+    assert intervals.sloppy_match(tok, words, slop) == near
+
+
 def test_fields_expand_over_declared_names_only():
     c = IndexConfig("i", "id", (FieldConfig("a", "STRING", {"aTitle": "standard", "bTitle": "standard"}), FieldConfig("n", "INT")), mappings={"alt": ("aTitle", "alt")})
     assert c.expand("*Title") == ["aTitle", "bTitle"] and c.expand("|*Title|") == ["|aTitle|", "|bTitle|"]
