@@ -144,13 +144,11 @@ def elsewhere(width: int) -> Callable[[pa.Table], pa.Table]:
     return answer
 
 
-def earlier(t: pa.Table) -> pa.Table:
-    """A bucket's answers for keys of 128 bits with the smallest doc_id of the block: has another block a smaller one?
+def late(asked: list[dict]) -> list[bytes]:
+    """Answers for keys of 128 bits with the smallest doc_id of the block: has another block a smaller one?
 
     A block holds all rows of a doc_id, so no two blocks tie.
     """
-    rows = t.to_pylist()
-    asked = [r for r in rows if r["kind"]]
     keys = [np.frombuffer(r["a"], np.uint64).reshape(3, -1) for r in asked]
     sizes = [k.shape[1] for k in keys]
     both = np.concatenate(keys, axis=1) if keys else np.zeros((3, 0), np.uint64)
@@ -158,8 +156,15 @@ def earlier(t: pa.Table) -> pa.Table:
     ids = both[2].view(np.int64)
     least = np.full(len(first), LAST)
     np.minimum.at(least, group, ids)
-    late, ends = least[group] < ids, np.cumsum(sizes)
-    out = [(r["bucket"], r["blk"], 1, pack(late[e - n : e]), b"") for r, n, e in zip(asked, sizes, ends, strict=True)]
+    after, ends = least[group] < ids, np.cumsum(sizes)
+    return [pack(after[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
+
+
+def earlier(t: pa.Table) -> pa.Table:
+    """A bucket's answers to questions as in `late`."""
+    rows = t.to_pylist()
+    asked = [r for r in rows if r["kind"]]
+    out = [(r["bucket"], r["blk"], 1, a, b"") for r, a in zip(asked, late(asked), strict=True)]
     return messages(out + [(r["bucket"], r["blk"], 0, r["a"], b"") for r in rows if not r["kind"]])
 
 

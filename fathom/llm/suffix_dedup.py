@@ -17,6 +17,8 @@ from fathom.llm.run_index import RunIndex, ranges
 BLOCK_BYTES = 1 << 20
 #: Bytes of segments in one index: a bucket makes several, each over whole grams.
 INDEX_BYTES = 1 << 18
+#: A key in more blocks than this is hot: windows around it are dealt by their own hashes, not by their gram.
+HOT_BLOCKS = 256
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -58,7 +60,7 @@ def segments(buf: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
     return start, np.flatnonzero(stop) + 1 - start, m[start], place, h[place]
 
 
-def least_documents(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def least_documents(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, length: int, gram: int, index_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For segments: the number of each among the distinct ones; windows of those; least doc_id with each window.
 
     A gram with one distinct segment settles its windows by that segment's least doc_id; the rest are indexed.
@@ -81,7 +83,7 @@ def least_documents(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, length
     upto = np.cumsum(lens[one[some]])
     k = 0
     while k < len(some):  # whole grams, as equal windows have one
-        j = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + INDEX_BYTES, "right")))
+        j = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + index_bytes, "right")))
         j = int(np.searchsorted(kind[some], kind[some[j - 1]], "right"))
         part = some[k:j]
         index = RunIndex(data[ranges(start[one[part]], lens[one[part]])], lens[one[part]], least[part], length)
@@ -90,16 +92,97 @@ def least_documents(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, length
     return group, per, out
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text: bool = False) -> DataFrame:
+def shared_and_hot(t: pa.Table, hot_blocks: int) -> pa.Table:
+    """A bucket's answers for keys of 32 bits, two arrays of bits: is it in a second document, and in many blocks?"""
+    rows = t.to_pylist()
+    keys = [np.frombuffer(r["a"], np.uint32) for r in rows]
+    _, group = X.distinct(np.concatenate(keys))
+    blocks = np.bincount(group)
+    shared = blocks > 1
+    shared[group[np.concatenate([X.unpack(r["b"], len(k)) for r, k in zip(rows, keys, strict=True)])]] = True
+    hot, ends = blocks > hot_blocks, np.cumsum([len(k) for k in keys])
+    return X.messages([(r["bucket"], r["blk"], 1, X.pack(shared[group[e - len(k) : e]]) + X.pack(hot[group[e - len(k) : e]]), b"") for r, k, e in zip(rows, keys, ends, strict=True)])
+
+
+def two(data: bytes, n: int) -> np.ndarray:
+    """Two arrays of n bits, packed one behind the other."""
+    half = -(-n // 8)
+    return np.stack([X.unpack(data[:half], n), X.unpack(data[half:], n)])
+
+
+class Block:
+    """A block of texts: its segments, and the keys that tell which of their windows may be elsewhere.
+
+    Of a window's bytes beyond its (first) least gram, half lies on the left or on the right: with that side the gram
+    is the window's key, so equal windows have equal keys.
+    """
+
+    def __init__(self, t: pa.Table, length: int, gram: int):
+        self.length = length
+        self.ids, self.t = X.in_order(t)
+        self.buf, self.at = H.text_block(self.t.column("text"))
+        self.start, self.count, self.anchor, self.place, self.value = segments(self.buf, self.at, length, gram)
+        self.side = side = (length - gram) // 2
+        whose = np.searchsorted(self.at, self.place, "right") - 1
+        left = np.flatnonzero(self.place - side >= self.at[whose]) if len(whose) else whose
+        right = np.flatnonzero(self.place + gram + side <= self.at[whose + 1]) if len(whose) else whose
+        wide = H.windows_hash(H._TABLE[1][self.buf], gram + side, 1)
+        self.of = np.concatenate([left, right])
+        self.keys = wide[np.concatenate([self.place[left] - side, self.place[right]])] if len(wide) else np.zeros(0, np.uint64)
+        self.doc = self.ids[whose[self.of]]
+        self.key_at = np.full((2, len(self.place)), -1)
+        self.key_at[0, right] = len(left) + np.arange(len(right))
+        self.key_at[1, left] = np.arange(len(left))
+
+    def questions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, and whether two documents of the block have them."""
+        one, group = X.distinct(self.keys)
+        most, least = np.full(len(one), -X.LAST), np.full(len(one), X.LAST)
+        np.maximum.at(most, group, self.doc)
+        np.minimum.at(least, group, self.doc)
+        return self.keys[one], most > least
+
+    def route(self, flags: np.ndarray) -> None:
+        """flags: shared and hot for each key. Windows with shared keys stay: runs of them, or single ones if hot."""
+        some = np.isin(self.anchor, self.value[self.of[flags[0]]])
+        start, count, anchor = self.start[some], self.count[some], self.anchor[some]
+        win, seg = ranges(start, count), np.repeat(np.arange(len(start)), count)
+        k = np.searchsorted(self.place, win)
+        off = np.flatnonzero(self.value[k] != anchor[seg]) if len(k) else k
+        while len(off):  # places that are least for earlier windows only
+            k[off] += 1
+            off = off[self.value[k[off]] != anchor[seg[off]]]
+        key = self.key_at[(self.place[k] - win >= self.side).astype(int), k] if len(k) else k
+        shared, hot = flags[:, key]
+        plain = shared & ~hot
+        begins, ends = plain.copy(), plain.copy()
+        begins[1:] &= ~plain[:-1] | (seg[1:] != seg[:-1])
+        ends[:-1] &= ~plain[1:] | (seg[1:] != seg[:-1])
+        i, j = np.flatnonzero(begins), np.flatnonzero(ends)
+        self.runs, self.lens = win[i], j - i + 1
+        self.hot = win[shared & hot]
+        self.run_doc, self.hot_doc = (self.ids[np.searchsorted(self.at, x, "right") - 1] for x in (self.runs, self.hot))
+        # least hashes are small; mixed ones deal evenly
+        to, end = H.mix(anchor[seg[i]]), self.runs + self.lens + self.length - 1
+        rep, of = X.distinct(H.spans_hash(self.buf, self.runs, end), H.spans_hash(self.buf, self.runs, end, 1))
+        by = np.argsort(to[rep], kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        self.rep, self.rep_of, self.rep_to = rep[by], back[of], to[rep[by]]
+        none = np.zeros(0, np.uint64)
+        self.hot_keys = [H.windows_hash(H._TABLE[w][self.buf], self.length, w)[self.hot] if len(self.hot) else none for w in (0, 1)]
+        self.hot_one, self.hot_group = X.distinct(*self.hot_keys)
+
+
+def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text: bool = False, hot_blocks: int = HOT_BLOCKS, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per document: bytes, bytes removed, removed runs, and a digest of the rest (with_text: the rest, too).
 
-    A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id. Each
-    window of that length is routed by its least gram hash, so equal windows meet; a run of windows with one least
-    gram is a segment. Of two equal windows half of what is beyond the gram lies on one side of it: the gram with as
-    much on its left, or on its right, is in both. Where no second document has either, nothing around that gram is
-    repeated. The other segments go, each once
-    per block with its block's least doc_id, to the bucket of their gram, which indexes them (see RunIndex) and
-    streams the least doc_id of every window back as one bit: is it below the block's own?
+    A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id. A run of
+    windows with one least gram is a segment. Keys of grams with what stands on one side (see Block) are looked up
+    first: windows whose key no second document has aren't repeated. The segments of the others go, each once per block
+    with its block's least doc_id, to the bucket of their gram, so equal windows meet. It indexes them (see RunIndex)
+    and streams the least doc_id of every window back as one bit: is it below the block's own? Around a key of more
+    than `hot_blocks` blocks windows are dealt by their own hash of 128 bits instead, so no gram fills a bucket.
 
     Null texts count as empty, bytes may be any, and empty tables give no rows. Rows with one doc_id don't count
     against each other; rows without doc_id come after all others. Other columns go.
@@ -107,67 +190,37 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
     size = pieces(docs, "text", BLOCK_BYTES)
     buckets, indexes = max(1, size // 4), size
 
-    side = (length - gram) // 2
-
-    def found(t: pa.Table):
-        ids, t = X.in_order(t)
-        buf, at = H.text_block(t.column("text"))
-        start, count, anchor, place, value = segments(buf, at, length, gram)
-        whose = np.searchsorted(at, place, "right") - 1
-        left = np.flatnonzero(place - side >= at[whose]) if len(place) else place
-        right = np.flatnonzero(place + gram + side <= at[whose + 1]) if len(place) else place
-        wide = H.windows_hash(H._TABLE[1][buf], gram + side, 1)
-        which = np.concatenate([left, right])
-        keys = wide[np.concatenate([place[left] - side, place[right]])] if len(wide) else np.zeros(0, np.uint64)
-        return ids, t, buf, at, start, count, anchor, value[which], ids[whose[which]], keys
-
     def first(blk: int, t: pa.Table) -> pa.Table:
-        *_, doc, keys = found(t)
-        one, group = X.distinct(keys)
-        most, least = np.full(len(one), -X.LAST), np.full(len(one), X.LAST)
-        np.maximum.at(most, group, doc)
-        np.minimum.at(least, group, doc)
-        many = most > least
-        return X.messages(X.ask_short(blk, buckets, keys[one], lambda i, j: X.pack(many[i:j])))
-
-    def routed(t: pa.Table, said=None, echoed: bytes = b""):
-        """Segments of shared grams; the distinct ones by gram, with the first row of each in the block."""
-        ids, t, buf, at, start, count, anchor, value, _, keys = found(t)
-        if said is None:
-            some = X.unpack(echoed, len(start)) if echoed else np.zeros(len(start), bool)
-        else:
-            one, group = X.distinct(keys)
-            bits = X.bits_of(said, keys[one], buckets)
-            some = np.isin(anchor, value[bits[group]] if len(group) else value)
-        bits = some
-        start, count, anchor = start[some], count[some], H.mix(anchor[some])  # least hashes are small; mixed ones deal evenly
-        doc = ids[np.searchsorted(at, start, "right") - 1] if len(start) else start
-        end = start + count + length - 1
-        rep, of = X.distinct(H.spans_hash(buf, start, end), H.spans_hash(buf, start, end, 1))
-        by = np.argsort(anchor[rep], kind="stable")
-        back = np.empty(len(by), np.int64)
-        back[by] = np.arange(len(by))
-        rep = rep[by]
-        return ids, t, buf, at, start, count, doc, rep, back[of], X.cuts(anchor[rep], indexes), bits
+        keys, many = Block(t, length, gram).questions()
+        return X.messages(X.ask_short(blk, buckets, keys, lambda i, j: X.pack(many[i:j])))
 
     def second(blk: int, t: pa.Table, said: pa.Table) -> pa.Table:
-        _, _, buf, _, start, count, doc, rep, _, c, bits = routed(t, X.answers(said)[1])
-        out = [X.echo(blk, indexes, X.pack(bits))]
-        for b in np.flatnonzero(np.diff(c)).tolist():
-            r = rep[c[b] : c[b + 1]]
-            lens = count[r] + length - 1
-            out.append((b, blk, 1, doc[r].tobytes() + lens.astype(np.int32).tobytes(), buf[ranges(start[r], lens)].tobytes()))
-        return X.messages(out)
+        b = Block(t, length, gram)
+        one, group = X.distinct(b.keys)
+        c, got = X.cuts(b.keys[one], buckets), np.zeros((2, len(one)), bool)
+        for k, data in X.answers(said)[1]:
+            got[:, c[k] : c[k + 1]] = two(data, c[k + 1] - c[k])
+        flags = got[:, group]
+        b.route(flags)
+        out = [X.echo(blk, indexes, X.pack(flags[0]) + X.pack(flags[1]))]
+        c = X.cuts(b.rep_to, indexes)
+        for k in np.flatnonzero(np.diff(c)).tolist():
+            r = b.rep[c[k] : c[k + 1]]
+            lens = b.lens[r] + length - 1
+            out.append((k, blk, 1, b.run_doc[r].tobytes() + lens.astype(np.int32).tobytes(), b.buf[ranges(b.runs[r], lens)].tobytes()))
+        hot = X.ask(blk, indexes, b.hot_keys[0][b.hot_one], b.hot_keys[1][b.hot_one], b.hot_doc[b.hot_one].view(np.uint64))
+        return X.messages(out + [(k, blk, 2, a, x) for k, blk, _, a, x in hot])
 
     def bucket(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        asked = [r for r in rows if r["kind"]]
-        out = [(r["bucket"], r["blk"], 0, r["a"], b"") for r in rows if not r["kind"]]
+        echoes, asked, hot = ([r for r in rows if r["kind"] == k] for k in (0, 1, 2))
+        out = [(r["bucket"], r["blk"], 0, r["a"], b"") for r in echoes]
+        out += [(r["bucket"], r["blk"], 2, a, b"") for r, a in zip(hot, X.late(hot), strict=True)]
         if asked:
             sizes = [len(r["a"]) // 12 for r in asked]
             ids = np.concatenate([np.frombuffer(r["a"], np.int64, n) for r, n in zip(asked, sizes, strict=True)])
             lens = np.concatenate([np.frombuffer(r["a"], np.int32, n, 8 * n) for r, n in zip(asked, sizes, strict=True)]).astype(np.int64)
-            group, per, least = least_documents(np.frombuffer(b"".join(r["b"] for r in asked), np.uint8), lens, ids, length, gram)
+            group, per, least = least_documents(np.frombuffer(b"".join(r["b"] for r in asked), np.uint8), lens, ids, length, gram, index_bytes)
             at, count = np.cumsum(per) - per, per[group]
             late = least[ranges(at[group], count)] < np.repeat(ids, count)
             ends = np.cumsum(count)
@@ -176,20 +229,26 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
         return X.messages(out)
 
     def last(blk: int, t: pa.Table, said: pa.Table) -> pa.Table:
-        echoed, answers = X.answers(said)
-        ids, t, buf, at, start, count, doc, rep, of, c, _ = routed(t, None, echoed)
-        per = count[rep]
+        rows = said.to_pylist()
+        b = Block(t, length, gram)
+        echoed = next((r["a"] for r in rows if not r["kind"]), None)
+        b.route(two(echoed, len(b.keys)) if echoed is not None else np.zeros((2, len(b.keys)), bool))
+        per, c = b.lens[b.rep], X.cuts(b.rep_to, indexes)
         edge = np.concatenate([[0], np.cumsum(per)])
         late = np.zeros(edge[-1], bool)
-        for b, data in answers:
-            i, j = edge[c[b]], edge[c[b + 1]]
-            late[i:j] = X.unpack(data, j - i)
-        hit = late[ranges(edge[:-1][of], count)] | np.repeat(doc > doc[rep][of] if len(of) else doc.astype(bool), count)
-        cover = np.zeros(len(buf) + 1, np.int64)
-        where = ranges(start, count)[hit]
+        for r in rows:
+            if r["kind"] == 1:
+                i, j = edge[c[r["bucket"]]], edge[c[r["bucket"] + 1]]
+                late[i:j] = X.unpack(r["a"], j - i)
+        hot = X.bits_of([(r["bucket"], r["a"]) for r in rows if r["kind"] == 2], b.hot_keys[0][b.hot_one], indexes)
+        hit = late[ranges(edge[:-1][b.rep_of], b.lens)] | np.repeat(b.run_doc > b.run_doc[b.rep][b.rep_of], b.lens)
+        hot = hot[b.hot_group] | (b.hot_doc > b.hot_doc[b.hot_one][b.hot_group])
+        where = np.concatenate([ranges(b.runs, b.lens)[hit], b.hot[hot]])
+        cover = np.zeros(len(b.buf) + 1, np.int64)
         np.add.at(cover, where, 1)
         np.add.at(cover, where + length, -1)
         gone = np.cumsum(cover[:-1]) > 0
+        buf, at, t = b.buf, b.at, b.t
         begins = gone.copy()
         inner = np.ones(len(buf), bool)
         inner[at[:-1][at[:-1] < len(buf)]] = False
@@ -202,4 +261,4 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
         return pa.table(out | ({"text": pa.array([x.decode("utf-8", "replace") for x in parts], pa.string())} if with_text else {}))
 
     schema = SCHEMA + ", text string" * with_text
-    return X.rounds(X.blocked(docs, size), first, second, last, schema, X.elsewhere(0), bucket)
+    return X.rounds(X.blocked(docs, size), first, second, last, schema, lambda t: shared_and_hot(t, hot_blocks), bucket)

@@ -69,7 +69,8 @@ def test_substrings(docs):
     assert got == want and sum(k[2] for k in want) > 500
 
 
-def test_suffixes(docs):
+@pytest.mark.parametrize("hot", [256, 0, 2])
+def test_suffixes(docs, hot):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     first = {}
     for i, x in rows:
@@ -84,7 +85,7 @@ def test_suffixes(docs):
                 gone[k : k + 50] = b"\1" * 50
         rest = bytes(b for b, g in zip(x, gone, strict=True) if not g)
         want[i, len(x), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(rest).hexdigest()] += 1
-    assert collections.Counter(tuple(r) for r in suffix_dedup.dedup_suffixes(docs).collect()) == want
+    assert collections.Counter(tuple(r) for r in suffix_dedup.dedup_suffixes(docs, hot_blocks=hot, index_bytes=2000).collect()) == want
 
 
 @given(st.lists(st.text("ab", min_size=9, max_size=24), min_size=1, max_size=12, unique=True))
