@@ -80,27 +80,57 @@ def statistics(hits: DataFrame, values: Column, by: Column | None, path: tuple,
     return out
 
 
+def _bin(x: Column, g: float) -> Column:
+    """The logarithmic bin of a number, by sign; bins rise with their numbers."""
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * (F.ceil(F.log(F.abs(x)) / math.log(g)) + F.lit(1 << 20))).cast("long")
+
+
+def _ranked(df: DataFrame, name: str, accuracy: float, keys: list[str]) -> DataFrame:
+    """(keys, b, n, upto, total): counted bins of a column with running sums. There are as many rows as bins, not values."""
+    x = F.col(name).cast("double")
+    bins = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, _bin(x, gamma(accuracy)).alias("b")).agg(F.count("*").alias("n"))
+    bins = bins.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("b")))
+    return bins.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def _rank(q: float) -> Column:
+    return F.floor(F.lit(q) * (F.col("total") - 1))
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+
+
 def quantiles(df: DataFrame, name: str, points: tuple[float, ...], accuracy: float, keys: list[str]) -> DataFrame:
     """Quantiles with a relative error of `accuracy`, as q0, q1, ... in the order of the points.
 
     Values fall into logarithmic bins by sign; bins are counted first, so what is sorted afterwards has as many rows as
-    there are bins, not values. The answer is the value in the middle of the bin that holds rank floor(q * (n - 1)).
+    there are bins. The answer is the value in the middle of the bin that holds rank floor(q * (n - 1)).
     """
     g = gamma(accuracy)
-    x = F.col(name).cast("double")
-    b = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * (F.ceil(F.log(F.abs(x)) / math.log(g)) + F.lit(1 << 20))).cast("long")
-    bins = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, b.alias("b")).agg(F.count("*").alias("n"))
-    run = Window.partitionBy(*keys).orderBy("b")
-    bins = bins.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
     k = F.abs(F.col("b")) - (1 << 20)
     middle = F.when(F.col("b") == 0, 0.0).otherwise(F.signum("b") * 2 * F.pow(F.lit(g), k) / (g + 1))
-    rank = lambda q: F.floor(F.lit(q) * (F.col("total") - 1))
-    return bins.groupBy(*keys).agg(*[F.max(F.when((F.col("upto") > rank(q)) & (F.col("upto") - F.col("n") <= rank(q)), middle)).alias(f"q{i}") for i, q in enumerate(points)])
+    return _ranked(df, name, accuracy, keys).groupBy(*keys).agg(*[F.max(F.when(_holds(_rank(q)), middle)).alias(f"q{i}") for i, q in enumerate(points)])
 
 
 def exact_quantiles(df: DataFrame, name: str, points: tuple[float, ...], keys: list[str]) -> DataFrame:
-    """Order statistics at floor(q * (n - 1)), exactly: values are counted first and ranked by running sums."""
-    bins = df.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("n"))
-    bins = bins.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy(name))).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    rank = lambda q: F.floor(F.lit(q) * (F.col("total") - 1))
-    return bins.groupBy(*keys).agg(*[F.max(F.when((F.col("upto") > rank(q)) & (F.col("upto") - F.col("n") <= rank(q)), F.col(name))).alias(f"q{i}") for i, q in enumerate(points)])
+    """Order statistics at floor(q * (n - 1)), exactly.
+
+    A first pass counts logarithmic bins, as for `quantiles`, which tells the bin of each point and the rank inside it.
+    A second pass counts the different values of those bins only, so no window holds more values than one bin has.
+    """
+    accuracy = 0.001
+    x = F.col(name).cast("double")
+    want = F.filter(F.array(*[F.when(_holds(_rank(q)), F.struct(F.lit(i).alias("i"), (_rank(q) - (F.col("upto") - F.col("n"))).alias("rank"))) for i, q in enumerate(points)]), lambda w: w.isNotNull())
+    wanted = _ranked(df, name, accuracy, keys).select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("b").alias("k_b"), want.alias("want")).where(F.size("want") > 0)
+    rows = df.where(x.isNotNull() & ~F.isnan(x)).select(*keys, F.col(name).alias("x"), _bin(x, gamma(accuracy)).alias("b"))
+    same = F.col("b") == F.col("k_b")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    counts = rows.groupBy(*keys, "b", "x").agg(F.count("*").alias("n")).join(wanted, same)
+    counts = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "b").orderBy("x")))
+
+    def held(i: int) -> Column:
+        return F.exists("want", lambda w: (w["i"] == i) & _holds(w["rank"]))
+
+    return counts.groupBy(*keys).agg(*[F.max(F.when(held(i), F.col("x"))).alias(f"q{i}") for i in range(len(points))])
