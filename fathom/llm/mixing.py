@@ -15,9 +15,9 @@ WEIGHTS, BUDGET, MOST = (5, 2, 1), 1.5, 2.0
 def targets(sizes: DataFrame) -> DataFrame:
     """(key, source_size, target): the budget by weight, capped at MOST times each source's size.
 
-    Sources are filled together, in proportion to weight, until each meets its cap: in the order of cap / weight, the
-    first whose level of filling, with all before it capped, stays below its own cap sets the level. One row per
-    source: the windows hold as many rows as there are sources.
+    Sources are filled together, in proportion to weight, until each meets its cap. In the order of cap / weight, the
+    level of filling with all sources before one capped rises as long as the last one capped lay below it, and falls
+    afterwards: the greatest is the level. One row per source: the windows hold as many rows as there are sources.
     """
     k = len(WEIGHTS)
     rank = F.row_number().over(Window.orderBy(F.col("key").asc_nulls_last())) - 1
@@ -29,8 +29,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (BUDGET * F.sum("source_size").over(every) - MOST * before) / left
     s = s.withColumn("level", level)
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
-    return s.withColumn("level", first).select("key", "source_size", F.least(MOST * F.col("source_size"), F.col("level") * F.col("w")).alias("target"))
+    return s.withColumn("level", F.max("level").over(every)).select("key", "source_size", F.least(MOST * F.col("source_size"), F.col("level") * F.col("w")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -75,7 +74,7 @@ w as (select *, case rank % 3 when 0 then 5 when 1 then 2 else 1 end as w from s
 r as (select *, 2.0::double * source_size / w as ratio from w),
 l as (select *, (1.5::double * sum(source_size) over () - 2.0::double * coalesce(sum(source_size) over (order by ratio, rank rows between unbounded preceding and 1 preceding), 0)::bigint)
   / sum(w) over (order by ratio, rank rows between current row and unbounded following)::bigint as level from r),
-t as (select source, source_size, least(2.0::double * source_size, w * (select min(level) from l where level <= ratio)) as target from l),
+t as (select source, source_size, least(2.0::double * source_size, w * (select max(level) from l)) as target from l),
 q as (select d.*, t.source_size, t.target, sum(size) over (partition by d.source order by md, doc_id, tie rows unbounded preceding)::bigint - size as before from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
   (greatest(0, least(size, floor(target)::bigint - before)) + greatest(0, least(size, floor(target)::bigint - source_size - before)))::bigint as taken,

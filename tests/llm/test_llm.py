@@ -227,9 +227,27 @@ def test_mixing(spark, docs):
         assert total == size and abs(taken - target) <= 1 and target <= 2 * size + 1e-6
     assert sum(b[0] for b in by.values()) == pytest.approx(1.5 * sum(by))
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
-    one = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000)], "key string, source_size long")
-    got = {r.key: r.target for r in mixing.targets(one).collect()}
-    assert got["a"] == 20 and got["b"] == 1996.6666666666667 or got["b"] <= 2000
+
+
+@pytest.mark.parametrize("sizes", [[10, 1000, 1000], [5, 5, 5, 5, 900, 1, 0, 300, 20, 20, 20, 4000], [0, 0], [7], [100] * 20, list(range(1, 40))])
+def test_targets(spark, sizes):
+    """Shares by weight; what is above a cap is dealt out again among the others until none is above."""
+    keys = sorted(f"s{i:02}" for i in range(len(sizes) - 1)) + [None]
+    weight = {k: mixing.WEIGHTS[i % 3] for i, k in enumerate(keys)}
+    size, open_keys, target = dict(zip(keys, sizes, strict=True)), set(keys), {}
+    left = 1.5 * sum(sizes)
+    while open_keys:
+        share = {k: left * weight[k] / sum(weight[j] for j in open_keys) for k in open_keys}
+        above = {k for k in open_keys if share[k] > 2 * size[k]}
+        if not above:
+            target |= share
+            break
+        target |= {k: 2.0 * size[k] for k in above}
+        left -= sum(2.0 * size[k] for k in above)
+        open_keys -= above
+    got = {r.key: r.target for r in mixing.targets(spark.createDataFrame(list(size.items()), "key string, source_size long")).collect()}
+    assert got.keys() == target.keys() and all(got[k] == pytest.approx(target[k]) and got[k] >= 0 for k in got)
+    assert sum(got.values()) == pytest.approx(1.5 * sum(sizes))
 
 
 def test_decontamination(spark):
