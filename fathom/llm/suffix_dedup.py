@@ -13,12 +13,12 @@ from fathom.llm import hashing as H
 from fathom.llm.common import pieces
 from fathom.llm.run_index import RunIndex, ranges
 
-#: Bytes of text in a block; a bucket indexes about as much.
+#: Bytes of text in a block; a bucket takes the segments of four.
 BLOCK_BYTES = 1 << 20
 #: Bytes of segments in one index: a bucket makes several, each over whole grams.
 INDEX_BYTES = 1 << 18
 #: A key in more blocks than this is hot: windows around it are dealt by their own hashes, not by their gram.
-HOT_BLOCKS = 256
+HOT_BLOCKS = 1024
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -110,6 +110,20 @@ def two(data: bytes, n: int) -> np.ndarray:
     return np.stack([X.unpack(data[:half], n), X.unpack(data[half:], n)])
 
 
+def heads(docs: np.ndarray, lens: np.ndarray) -> tuple[int, bytes]:
+    """What a message says of its segments. Bytes of equal weight stand together, as most are zeros; kind 1: lengths of
+    one byte, kind 3: of four.
+    """
+    short = lens.max(initial=0) < 256
+    return (1 if short else 3), docs.view(np.uint8).reshape(-1, 8).T.tobytes() + lens.astype(np.uint8 if short else np.int32).tobytes()
+
+
+def tails(kind: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // (9 if kind == 1 else 12)
+    docs = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n).reshape(8, n).T).view(np.int64).ravel()
+    return docs, np.frombuffer(data, np.uint8 if kind == 1 else np.int32, n, 8 * n).astype(np.int64)
+
+
 class Block:
     """A block of texts: its segments, and the keys that tell which of their windows may be elsewhere.
 
@@ -188,7 +202,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
     against each other; rows without doc_id come after all others. Other columns go.
     """
     size = pieces(docs, "text", BLOCK_BYTES)
-    buckets, indexes = max(1, size // 4), size
+    buckets = indexes = max(1, size // 4)
 
     def first(blk: int, t: pa.Table) -> pa.Table:
         keys, many = Block(t, length, gram).questions()
@@ -207,19 +221,19 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
         for k in np.flatnonzero(np.diff(c)).tolist():
             r = b.rep[c[k] : c[k + 1]]
             lens = b.lens[r] + length - 1
-            out.append((k, blk, 1, b.run_doc[r].tobytes() + lens.astype(np.int32).tobytes(), b.buf[ranges(b.runs[r], lens)].tobytes()))
+            out.append((k, blk, *heads(b.run_doc[r], lens), b.buf[ranges(b.runs[r], lens)].tobytes()))
         hot = X.ask(blk, indexes, b.hot_keys[0][b.hot_one], b.hot_keys[1][b.hot_one], b.hot_doc[b.hot_one].view(np.uint64))
         return X.messages(out + [(k, blk, 2, a, x) for k, blk, _, a, x in hot])
 
     def bucket(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        echoes, asked, hot = ([r for r in rows if r["kind"] == k] for k in (0, 1, 2))
+        echoes, asked, hot = ([r for r in rows if r["kind"] in k] for k in ((0,), (1, 3), (2,)))
         out = [(r["bucket"], r["blk"], 0, r["a"], b"") for r in echoes]
         out += [(r["bucket"], r["blk"], 2, a, b"") for r, a in zip(hot, X.late(hot), strict=True)]
         if asked:
-            sizes = [len(r["a"]) // 12 for r in asked]
-            ids = np.concatenate([np.frombuffer(r["a"], np.int64, n) for r, n in zip(asked, sizes, strict=True)])
-            lens = np.concatenate([np.frombuffer(r["a"], np.int32, n, 8 * n) for r, n in zip(asked, sizes, strict=True)]).astype(np.int64)
+            ids, lens = ([x[i] for x in (tails(r["kind"], r["a"]) for r in asked)] for i in (0, 1))
+            sizes = [len(x) for x in ids]
+            ids, lens = np.concatenate(ids), np.concatenate(lens)
             group, per, least = least_documents(np.frombuffer(b"".join(r["b"] for r in asked), np.uint8), lens, ids, length, gram, index_bytes)
             at, count = np.cumsum(per) - per, per[group]
             late = least[ranges(at[group], count)] < np.repeat(ids, count)
