@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,15 @@ def need_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared checkpoint folder, so that lost executors cost no recomputation."""
     need_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    drop_unused(df.sparkSession)
+    return out
+
+
+def drop_unused(spark: SparkSession) -> None:
+    """Spark removes shuffle files when the driver's garbage is collected; iterations must not wait for that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def pieces(df: DataFrame, text: str, each: int) -> int:
