@@ -11,6 +11,8 @@ TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}'-]*"
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "meters", "miles", "dollars", "euros", "usd", "eur", "percent")
 #: Template tokens in a window, the share of an item's windows that a leak has, and windows or documents to broadcast.
 WINDOW, SHARE, BROADCAST_ROWS = 5, 0.8, 500_000
+#: Shifts, in tokens, between the parts of one occurrence: none, and inserted or lost words up to each of these.
+SHIFTS = (0, 4, 16, 64)
 
 
 def _template(raw):
@@ -20,16 +22,45 @@ def _template(raw):
 
 
 def windows(texts: DataFrame, key: str, size: int, slots: bool) -> DataFrame:
-    """(key, h) for every window of `size` template tokens, with the raw tokens (where they fill slots) if asked."""
-    t = texts.select(F.col(key), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw")).where(F.size("raw") >= size)
+    """(key, h) for every window of `size` template tokens, with its row and position and the raw tokens if asked."""
+    t = texts.select(F.col(key), F.xxhash64("text").alias("row"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw")).where(F.size("raw") >= size)
     t = t.withColumn("tpl", F.transform("raw", _template))
     near = lambda a, i: [F.get(F.col(a), i + k) for k in range(size)]
     if not slots:
         h = F.transform("tpl", lambda x, i: F.when(i <= F.size("tpl") - size, F.xxhash64(x, *near("tpl", i)[1:])))
         return t.select(key, F.explode(h).alias("h")).where("h is not null")
     part = lambda x, i: F.struct(F.xxhash64(x, *near("tpl", i)[1:]).alias("h"), F.array(*near("tpl", i)).alias("tpl"), F.array(*near("raw", i)).alias("raw"))
-    t = t.select(key, F.explode(F.slice(F.transform("tpl", part), F.lit(1), F.size("tpl") - (size - 1))).alias("w"))
-    return t.select(key, "w.h", "w.tpl", "w.raw")
+    t = t.select(key, "row", F.posexplode(F.slice(F.transform("tpl", part), F.lit(1), F.size("tpl") - (size - 1))).alias("at", "w"))
+    return t.select(key, "row", "at", "w.h", "w.tpl", "w.raw")
+
+
+def _consistent(pairs: DataFrame, by: list[str], share: float) -> DataFrame:
+    """The groups whose slot values in the item go with one value in the document, in `share` or more of the slots."""
+    slot = F.filter(F.arrays_zip("tpl", "asked", "given"), lambda z: z["tpl"].startswith("<"))
+    slots = pairs.select(*by, F.explode_outer(slot).alias("z")).groupBy(*by, "z.asked", "z.given").agg(F.count("*").alias("n"))
+    most = slots.groupBy(*by, "asked").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    agree = most.groupBy(*by).agg(F.sum(F.when(F.col("asked").isNotNull(), F.col("top"))).alias("top"), F.sum(F.when(F.col("asked").isNotNull(), F.col("n"))).alias("n"))
+    return agree.where(F.coalesce(F.col("top") >= share * F.col("n"), F.lit(True))).select(*by)
+
+
+def _occurrences(pairs: DataFrame, own: DataFrame, share: float) -> DataFrame:
+    """(doc_id, item_id) where one occurrence has `share` of an item's windows and is consistent by itself.
+
+    An occurrence starts at a shift between item and document. Of each window of the item it takes the match whose
+    shift is nearest, if not further off than one of SHIFTS; each of these is tried. Matches meet shifts by ranges of
+    shifts, so a document with many occurrences costs in proportion to them.
+    """
+    need = own.groupBy("item_id", F.col("row").alias("item_row")).agg(F.count_distinct("h").alias("need"))
+    whole, width = ["doc_id", "doc_row", "item_id", "item_row"], max(SHIFTS)
+    pairs = pairs.withColumn("shift", F.col("doc_at") - F.col("item_at")).withColumn("range", F.floor(F.col("shift") / width))
+    starts = pairs.select(*whole, F.col("shift").alias("start")).distinct()
+    starts = starts.withColumn("range", F.explode(F.array(*[F.floor(F.col("start") / width) + k for k in (-1, 0, 1)])))
+    near = pairs.join(starts, [*whole, "range"]).withColumn("off", F.abs(F.col("shift") - F.col("start"))).where(F.col("off") <= width)
+    best = near.groupBy(*whole, "start", "item_at").agg(F.min(F.struct("off", "shift", "h", "tpl", "asked", "given")).alias("m")).select(*whole, "start", "m.*")
+    one = [*whole, "start", "reach"]
+    tried = best.withColumn("reach", F.explode(F.array(*[F.lit(k) for k in SHIFTS]))).where("off <= reach")
+    full = tried.groupBy(*one).agg(F.count_distinct("h").alias("n")).join(need, ["item_id", "item_row"]).where(F.col("n") >= share * F.col("need")).select(*one)
+    return _consistent(tried.join(full, one), one, share).select("doc_id", "item_id").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -37,8 +68,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
 
     Texts become templates: numbers, units and names (capitalised words) turn into typed placeholders, other words into
     lower case, and punctuation goes. A document holds an item if it has `share` or more of the item's distinct windows
-    of `size` template tokens, and its slots are consistent: over the windows found, each slot value of the item goes
-    with one value in the document, in `share` or more of the slots. Windows with fewer than two plain words don't count.
+    of `size` template tokens, and its slots are consistent, over all windows found or in one occurrence that has `share`
+    of the windows by itself: each slot value of the item goes with one value in the document, in `share` or more of the
+    slots. Windows with fewer than two plain words don't count.
 
     Windows meet in a hash join, broadcast if the benchmark has no more than BROADCAST_ROWS of them; likewise the
     documents with enough windows, which alone are read again for their slots. Items of fewer than `size` tokens or
@@ -59,13 +91,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     ids = some.select("doc_id").distinct()
     few = ids.count() <= BROADCAST_ROWS
     again = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    mine = windows(again, "doc_id", size, True).select("doc_id", "h", "tpl", F.col("raw").alias("given"))
-    pairs = mine.join(hint(own.select("item_id", "h", F.col("raw").alias("asked"))), "h").join(F.broadcast(some) if few else some, ["doc_id", "item_id"])
-    slot = F.filter(F.arrays_zip("tpl", "asked", "given"), lambda z: z["tpl"].startswith("<"))
-    slots = pairs.select("doc_id", "item_id", "share", F.explode_outer(slot).alias("z")).groupBy("doc_id", "item_id", "share", "z.asked", "z.given").agg(F.count("*").alias("n"))
-    most = slots.groupBy("doc_id", "item_id", "share", "asked").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    agree = most.groupBy("doc_id", "item_id", "share").agg(F.sum(F.when(F.col("asked").isNotNull(), F.col("top"))).alias("top"), F.sum(F.when(F.col("asked").isNotNull(), F.col("n"))).alias("n"))
-    return agree.where(F.coalesce(F.col("top") >= share * F.col("n"), F.lit(True))).select("doc_id", "item_id", "share")
+    mine = windows(again, "doc_id", size, True).select("doc_id", F.col("row").alias("doc_row"), F.col("at").alias("doc_at"), "h", "tpl", F.col("raw").alias("given"))
+    asked = own.select("item_id", F.col("row").alias("item_row"), F.col("at").alias("item_at"), "h", F.col("raw").alias("asked"))
+    pairs = mine.join(hint(asked), "h").join(F.broadcast(some) if few else some, ["doc_id", "item_id"])
+    both = ["doc_id", "item_id"]
+    pooled = cut(_consistent(pairs, both, share))
+    single = _occurrences(pairs.join(pooled, both, "left_anti"), own, share)
+    return some.join(pooled.union(single), both, "left_semi").select(*both, "share")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -268,6 +268,18 @@ def test_decontamination(spark):
     assert [r.doc_id for r in decontamination.leaks(wrong, swap.withColumnRenamed("doc_id", "item_id").toDF("item_id", "text")).collect()] == [9]
 
 
+def test_each_occurrence_of_an_item_is_judged(spark):
+    item = "Ann has 5 apples and gives 3 of them to Bob before she walks 7 km home with what is left"
+    variant = "Eve has 9 apples and gives 2 of them to Kim before she walks 4 miles home with what is left"
+    capitals = "The capital city of France is Paris and the capital city of Spain is Madrid and the capital city of Italy is Rome"
+    scrambled = "the cat 1 ran and 2 sat on 3 mat by 4 door in 5 house near 6 lake"
+    pad = " some words of no interest stand here and there. "
+    rows = [(1, item + pad + variant), (2, pad + capitals), (3, (item + pad + variant + pad) * 20), (4, capitals.replace("and the", "and also the", 1)), (5, scrambled + pad + scrambled.replace("3", "7")), (6, scrambled + pad + "the cat 1 ran and 1 sat on 1 mat by 1 door in 1 house near 1 lake")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(10, item), (11, capitals), (12, "the cat 1 ran and 1 sat on 1 mat by 1 door in 1 house near 1 lake")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(d, b).collect()) == [(1, 10), (2, 11), (3, 10), (4, 11), (6, 12)]
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(2)
     lens = np.array([4, 0, 6, 1])
