@@ -15,16 +15,17 @@ WINDOW, SHARE, BROADCAST_ROWS = 5, 0.8, 500_000
 SHIFTS = (0, 4, 16, 64)
 
 
-def _template(raw):
-    """A number, a unit, a name (a word that begins with a capital), or else the word in lower case."""
+def _template(raw, cased: bool = True):
+    """A number, a unit, a name (a word that begins with a capital, if case counts), or else the word in lower case."""
     head, low = F.substring(raw, 1, 1), F.lower(raw)
-    return F.when(head.between("0", "9"), "<NUM>").when(low.isin(*UNITS), "<UNIT>").when(head != F.lower(head), "<NAME>").otherwise(low)
+    slot = F.when(head.between("0", "9"), "<NUM>").when(low.isin(*UNITS), "<UNIT>")
+    return (slot.when(head != F.lower(head), "<NAME>") if cased else slot).otherwise(low)
 
 
-def windows(texts: DataFrame, key: str, size: int, slots: bool) -> DataFrame:
+def windows(texts: DataFrame, key: str, size: int, slots: bool, cased: bool = True) -> DataFrame:
     """(key, h) for every window of `size` template tokens, with its row and position and the raw tokens if asked."""
     t = texts.select(F.col(key), F.xxhash64("text").alias("row"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw")).where(F.size("raw") >= size)
-    t = t.withColumn("tpl", F.transform("raw", _template))
+    t = t.withColumn("tpl", F.transform("raw", lambda x: _template(x, cased)))
     near = lambda a, i: [F.get(F.col(a), i + k) for k in range(size)]
     if not slots:
         h = F.transform("tpl", lambda x, i: F.when(i <= F.size("tpl") - size, F.xxhash64(x, *near("tpl", i)[1:])))
@@ -63,35 +64,21 @@ def _occurrences(pairs: DataFrame, own: DataFrame, share: float) -> DataFrame:
     return _consistent(tried.join(full, one), one, share).select("doc_id", "item_id").distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, share): the items that a document holds, for documents with a doc_id.
-
-    Texts become templates: numbers, units and names (capitalised words) turn into typed placeholders, other words into
-    lower case, and punctuation goes. A document holds an item if it has `share` or more of the item's distinct windows
-    of `size` template tokens, and its slots are consistent, over all windows found or in one occurrence that has `share`
-    of the windows by itself: each slot value of the item goes with one value in the document, in `share` or more of the
-    slots. Windows with fewer than two plain words don't count.
-
-    Windows meet in a hash join, broadcast if the benchmark has no more than BROADCAST_ROWS of them; likewise the
-    documents with enough windows, which alone are read again for their slots. Items of fewer than `size` tokens or
-    without countable windows are never found. Null texts hold nothing; rows that repeat a doc_id are taken together,
-    as are rows that repeat an item_id.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    own = windows(items, "item_id", size, True).where(F.size(F.filter("tpl", lambda x: ~x.startswith("<"))) >= 2)
+def _found(docs: DataFrame, items: DataFrame, size: int, share: float, cased: bool) -> DataFrame:
+    """`leaks` by templates with names (cased) or without."""
+    own = windows(items, "item_id", size, True, cased).where(F.size(F.filter("tpl", lambda x: ~x.startswith("<"))) >= 2)
     own = cut(own)
     known = own.select("item_id", "h").distinct()
     need = known.groupBy("item_id").agg(F.count("*").alias("need"))
     small = known.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda df: df
-    hashes = windows(docs, "doc_id", size, False).join(hint(known.select("h").distinct()), "h").groupBy("doc_id", "h").agg(F.lit(1).alias("one"))
+    hashes = windows(docs, "doc_id", size, False, cased).join(hint(known.select("h").distinct()), "h").groupBy("doc_id", "h").agg(F.lit(1).alias("one"))
     some = hashes.join(hint(known), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).join(hint(need), "item_id")
     some = cut(some.where(F.col("n") >= share * F.col("need")).select("doc_id", "item_id", (F.col("n") / F.col("need")).alias("share")))
     ids = some.select("doc_id").distinct()
     few = ids.count() <= BROADCAST_ROWS
     again = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    mine = windows(again, "doc_id", size, True).select("doc_id", F.col("row").alias("doc_row"), F.col("at").alias("doc_at"), "h", "tpl", F.col("raw").alias("given"))
+    mine = windows(again, "doc_id", size, True, cased).select("doc_id", F.col("row").alias("doc_row"), F.col("at").alias("doc_at"), "h", "tpl", F.col("raw").alias("given"))
     asked = own.select("item_id", F.col("row").alias("item_row"), F.col("at").alias("item_at"), "h", F.col("raw").alias("asked"))
     pairs = mine.join(hint(asked), "h").join(F.broadcast(some) if few else some, ["doc_id", "item_id"])
     both = ["doc_id", "item_id"]
@@ -100,6 +87,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     return some.join(pooled.union(single), both, "left_semi").select(*both, "share")
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, share): the items that a document holds, for documents with a doc_id.
+
+    Texts become templates: numbers, units and names (capitalised words) turn into typed placeholders, other words into
+    lower case, and punctuation goes. A document holds an item if it has `share` or more of the item's distinct windows
+    of `size` template tokens, and its slots are consistent, over all windows found or in one occurrence that has `share`
+    of the windows by itself: each slot value of the item goes with one value in the document, in `share` or more of the
+    slots. Windows with fewer than two plain words don't count.
+
+    All this is done twice, and what either finds counts: as told, and with case put aside, where names stay words in
+    lower case. The second finds copies in capitals or in lower case only; their names must be those of the item.
+
+    Windows meet in a hash join, broadcast if the benchmark has no more than BROADCAST_ROWS of them; likewise the
+    documents with enough windows, which alone are read again for their slots. Items of fewer than `size` tokens or
+    without countable windows are never found. Null texts hold nothing; rows that repeat a doc_id are taken together,
+    as are rows that repeat an item_id.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    both = _found(docs, items, size, share, True).union(_found(docs, items, size, share, False))
+    return both.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: contaminated, n_items that it holds, the least of their item_ids. See `leaks`."""
     found = leaks(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("item_id"))

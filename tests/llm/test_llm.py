@@ -280,6 +280,17 @@ def test_each_occurrence_of_an_item_is_judged(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(d, b).collect()) == [(1, 10), (2, 11), (3, 10), (4, 11), (6, 12)]
 
 
+def test_copies_in_another_case_are_found(spark):
+    item = "Ann has 5 apples and gives 3 of them to Bob before she walks 7 km home with what is left"
+    pad = " Some words of no interest stand here and there. "
+    rows = [(1, pad + item.upper() + pad), (2, pad + item.lower() + pad), (3, pad + item.title().replace("7", "9")), (4, pad.upper() * 9), (5, pad + item)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(10, item), (11, item.upper() + " AND NOTHING MORE OF THAT STAYS")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(d, b.where("item_id = 10")).collect()) == [(1, 10), (2, 10), (3, 10), (5, 10)]
+    more = spark.createDataFrame([(6, item + " and nothing more of that stays")], "doc_id long, text string")
+    assert (6, 11) in {(r.doc_id, r.item_id) for r in decontamination.leaks(more, b).collect()}
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(2)
     lens = np.array([4, 0, 6, 1])
