@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from fathom.llm.common import cut
 
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}'-]*"
+#: TOKEN with each character as a token of its own where scripts have no spaces between words.
+SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+FINE = rf"[0-9]+(?:[.,][0-9]+)*|[{SPACELESS}]\p{{M}}*|[\p{{L}}&&[^{SPACELESS}]][[\p{{L}}&&[^{SPACELESS}]]'-]*"
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "meters", "miles", "dollars", "euros", "usd", "eur", "percent")
 #: Template tokens in a window, the share of an item's windows that a leak has, and windows or documents to broadcast.
 WINDOW, SHARE, BROADCAST_ROWS = 5, 0.8, 500_000
@@ -22,6 +25,11 @@ def _template(raw, cased: bool = True):
     return (slot.when(head != F.lower(head), "<NAME>") if cased else slot).otherwise(low)
 
 
+def _countable(w: DataFrame) -> DataFrame:
+    """The windows with two plain words or more."""
+    return w.where(F.size(F.filter("tpl", lambda x: ~x.startswith("<"))) >= 2)
+
+
 def windows(texts: DataFrame, key: str, size: int, slots: bool, cased: bool = True) -> DataFrame:
     """(key, h) for every window of `size` template tokens, with its row and position and the raw tokens if asked."""
     t = texts.select(F.col(key), F.xxhash64("text").alias("row"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw")).where(F.size("raw") >= size)
@@ -66,8 +74,8 @@ def _occurrences(pairs: DataFrame, own: DataFrame, share: float) -> DataFrame:
 
 def _found(docs: DataFrame, items: DataFrame, size: int, share: float, cased: bool) -> DataFrame:
     """`leaks` by templates with names (cased) or without."""
-    own = windows(items, "item_id", size, True, cased).where(F.size(F.filter("tpl", lambda x: ~x.startswith("<"))) >= 2)
-    own = cut(own)
+    own = windows(items, "item_id", size, True, cased)
+    own = cut(_countable(own))
     known = own.select("item_id", "h").distinct()
     need = known.groupBy("item_id").agg(F.count("*").alias("need"))
     small = known.count() <= BROADCAST_ROWS
@@ -87,6 +95,38 @@ def _found(docs: DataFrame, items: DataFrame, size: int, share: float, cased: bo
     return some.join(pooled.union(single), both, "left_semi").select(*both, "share")
 
 
+def _head_hash(k: int):
+    """From a position in the tokens f to a hash of k tokens."""
+    return lambda i: F.xxhash64(F.array_join(F.slice("f", i, k), " "))
+
+
+def _exact(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(doc_id, item_id, share) for items without countable windows or with a script without spaces, or None.
+
+    They are compared by their whole sequence of tokens in lower case, where characters of such scripts are tokens, as
+    the words around a copy run into those of TOKEN. Sequences meet by a hash of their first tokens, as many as the
+    greatest power of two in them, and are then compared whole. The driver sees the distinct powers.
+    """
+    fine = lambda df, key: df.select(key, F.transform(F.regexp_extract_all("text", F.lit(FINE), F.lit(0)), F.lower).alias("f")).where(F.size("f") > 0)
+    have = _countable(windows(items, "item_id", size, True, True)).select("item_id").union(_countable(windows(items, "item_id", size, True, False)).select("item_id")).distinct()
+    rare = fine(items.join(have, "item_id", "left_anti").union(items.where(F.col("text").rlike(f"[{SPACELESS}]"))), "item_id").distinct()
+    rare = cut(rare.withColumn("k", F.expr("cast(1 as int) << cast(floor(log2(size(f))) as int)")).select("item_id", "k", _head_hash(F.col("k"))(1).alias("h"), F.array_join("f", " ").alias("asked")))
+    sizes = [r.k for r in rare.select("k").distinct().collect()]
+    whole = None
+    for k in sizes:
+        # a separate pass for each power; the benchmark of the test data needs none
+        at = F.transform(F.sequence(F.lit(1), F.size("f") - (k - 1)), _head_hash(k))
+        own = rare.where(F.col("k") == k).drop("k")
+        hashes = fine(docs, "doc_id").where(F.size("f") >= k).select("doc_id", F.explode(F.array_distinct(at)).alias("h"))
+        hit = hashes.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, "h").select("doc_id", "item_id", "asked").distinct()
+        whole = hit if whole is None else whole.union(hit)
+    if whole is None:
+        return None
+    texts = fine(docs, "doc_id").select("doc_id", F.concat(F.lit(" "), F.array_join("f", " "), F.lit(" ")).alias("given"))
+    whole = texts.join(whole, "doc_id").where(F.contains("given", F.concat(F.lit(" "), "asked", F.lit(" "))))
+    return whole.select("doc_id", "item_id").distinct().withColumn("share", F.lit(1.0))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share): the items that a document holds, for documents with a doc_id.
 
@@ -100,13 +140,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     lower case. The second finds copies in capitals or in lower case only; their names must be those of the item.
 
     Windows meet in a hash join, broadcast if the benchmark has no more than BROADCAST_ROWS of them; likewise the
-    documents with enough windows, which alone are read again for their slots. Items of fewer than `size` tokens or
-    without countable windows are never found. Null texts hold nothing; rows that repeat a doc_id are taken together,
+    documents with enough windows, which alone are read again for their slots. Items without
+    countable windows, or in scripts without spaces, are matched exactly by all their tokens, see `_exact`; those without any token are
+    not found. Null texts hold nothing; rows that repeat a doc_id are taken together,
     as are rows that repeat an item_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     both = _found(docs, items, size, share, True).union(_found(docs, items, size, share, False))
+    whole = _exact(docs, items, size)
+    both = both if whole is None else both.union(whole)
     return both.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 

@@ -291,6 +291,13 @@ def test_copies_in_another_case_are_found(spark):
     assert (6, 11) in {(r.doc_id, r.item_id) for r in decontamination.leaks(more, b).collect()}
 
 
+def test_items_without_windows_are_matched_whole(spark):
+    items = [(1, "谁是第一个登上月球的人，他在哪一年登月，当时多少岁？"), (2, "Who wrote Hamlet?"), (3, "Paris 1900 London 1908"), (4, "ประเทศไทยมีกี่จังหวัด"), (5, "?!"), (6, None)]
+    rows = [(1, "前文很长" + items[0][1] + "后文也很长。"), (2, "They asked: who wrote Hamlet? Nobody knew."), (3, "Games: Paris 1900, London 1908, Rome 1960"), (4, "ถามว่า" + items[3][1] + "บ้าง"), (5, "Who wrote Macbeth? Paris 1900 London 1912 谁是第一个登上月球的猫"), (6, "Who wrote Hamlets"), (7, "?!"), (8, None)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(d, b).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(2)
     lens = np.array([4, 0, 6, 1])
