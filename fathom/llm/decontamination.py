@@ -88,8 +88,8 @@ def _found(docs: DataFrame, items: DataFrame, size: int, share: float, cased: bo
     again = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     mine = windows(again, "doc_id", size, True, cased).select("doc_id", F.col("row").alias("doc_row"), F.col("at").alias("doc_at"), "h", "tpl", F.col("raw").alias("given"))
     asked = own.select("item_id", F.col("row").alias("item_row"), F.col("at").alias("item_at"), "h", F.col("raw").alias("asked"))
-    pairs = mine.join(hint(asked), "h").join(F.broadcast(some) if few else some, ["doc_id", "item_id"])
     both = ["doc_id", "item_id"]
+    pairs = cut(mine.join(hint(asked), "h").join(F.broadcast(some) if few else some, both).drop("share"))
     pooled = cut(_consistent(pairs, both, share))
     single = _occurrences(pairs.join(pooled, both, "left_anti"), own, share)
     return some.join(pooled.union(single), both, "left_semi").select(*both, "share")
