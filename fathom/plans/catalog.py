@@ -306,7 +306,7 @@ select doc_id, round(s, 6) as score from found {limit}"""
 add("m_lex", likeness(3, 10), lambda s, d: similar.more_like(t(s, d, "documents"), DOCS, ("text",), [r[1] for r in similar.sources(t(s, d, "documents"), "doc_id", [3], ["text"])], exclude=[3], max_terms=10).select("doc_id", F.round("score", 6).alias("score")).limit(50))
 like = lambda **how: (Clause("MORE_LIKE_THIS", like=similar.Like(text_fields=("text",), **how)),)
 add("q_mlt", likeness(3, 8, ""), lambda s, d: docs(s, d).hits(Search(like(ids=(3,), options=(("max_terms", 8),)))).select("doc_id", F.round("score", 6).alias("score")))
-add("m_resolve", likeness(5, 6, ""), lambda s, d: docs(s, d).hits(Search(like(ids=(5,), index=t(s, d, "documents").where("doc_id < 50"), options=(("max_terms", 6),)))).select("doc_id", F.round("score", 6).alias("score")).where("doc_id <> 5"))
+add("m_resolve", likeness(5, 6, ""), lambda s, d: docs(s, d).hits(Search(like(ids=(5,), index=t(s, d, "documents"), options=(("max_terms", 6),)))).select("doc_id", F.round("score", 6).alias("score")).where("doc_id <> 5"))
 add("m_exclude", f"select doc_id from ({likeness(3, 8, '')}) where doc_id % 2 = 0 union all select 3", lambda s, d: docs(s, d).hits(Search(like(ids=(3,), include_sources=True, options=(("max_terms", 8),)))).select("doc_id").where("doc_id % 2 = 0 or doc_id = 3"))
 BOTH = IndexConfig("both", "doc_id", (*DOCS.fields, FC("embedding", "UNIT_VECTOR", dimension=64)), ("text",))
 both = lambda s, d: Searcher(t(s, d, "documents").join(t(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id"), BOTH)
@@ -323,7 +323,7 @@ add("an_docterms", f"with {DT} select id, term, tf from p join f using (term) qu
 add("an_docterms_tfidf", f"with {DT}, n as (select count(*) as n from documents) select id, term, round(tf * ln(1.0 + n.n::double / doc_freq), 6) as score from p join f using (term), n qualify row_number() over (partition by id order by tf * ln(1.0 + n.n::double / doc_freq) desc, term) <= 3", lambda s, d: terms.document_terms(t(s, d, "documents"), "doc_id", ascii_tokens(s, d), 3, min_df=2).select("id", "term", F.round("score", 6).alias("score")))
 add("an_summary", f"with {DT} select term, sum(tf)::bigint as tf, count(*) as docs from p group by term order by 2 desc, term limit 30", lambda s, d: terms.summary_terms(t(s, d, "documents"), "doc_id", ascii_tokens(s, d), 30))
 add("h_highlight", "select p_partkey, regexp_replace(p_name, '(?i)\\b(red|blue)\\b', '<em>\\1</em>', 'g') as marked from part", lambda s, d: t(s, d, "part").select("p_partkey", terms.mark(F.col("p_name"), ["red", "blue"]).alias("marked")))
-add("h_fragments", None, lambda s, d: t(s, d, "documents").where("lang = 'en'").orderBy("doc_id").limit(50).select("doc_id", terms.fragments(F.col("text"), ["the", "of"]).alias("fragments")))
+add("h_fragments", None, lambda s, d: t(s, d, "documents").select("doc_id", terms.fragments(F.col("text"), ["the", "of"]).alias("fragments")))
 
 add("h_terms", "select doc_id, contains(lower(text), 'password') as marked from documents where list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 'password')", lambda s, d: docs(s, d).highlighted(Search((Clause("FILTER", "text:password"),), sorts=(Sort("doc_id"),), amount=100_000), "text").select("doc_id", F.get("highlight", 0).contains("<em>").alias("marked")))
 add("an_override", "select doc_id, len(regexp_extract_all(text, '\\S+'))::bigint as n from documents where lang = 'en'", lambda s, d: t(s, d, "documents").where("lang = 'en'").select("doc_id", F.size(analysis.tokens(F.col("text"), "whitespace")).cast("long").alias("n")))

@@ -1,6 +1,7 @@
 """A sample of the catalog against its SQL, and that every query has a schema."""
 
 import os
+import re
 
 import pytest
 
@@ -32,3 +33,10 @@ def test_against_sql(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 150
+
+
+def test_fragments_of_all_documents(spark, tmp_path):
+    rows = [(i, f"{'the' if i % 3 else 'Of'} start {i}" if i % 4 else "nothing here", ("en", "de", None)[i % 3], "s", 10) for i in range(90)] + [(90, None, "fr", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [x] if (x := re.sub(r"(?i)\b(the|of)\b", r"<em>\1</em>", text or "")) != (text or "") else [] for i, text, *_ in rows}
+    assert {r.doc_id: r.fragments for r in QUERIES["h_fragments"](spark, str(tmp_path)).collect()} == want
