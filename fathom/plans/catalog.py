@@ -325,7 +325,7 @@ add("an_summary", f"with {DT} select term, sum(tf)::bigint as tf, count(*) as do
 add("h_highlight", "select p_partkey, regexp_replace(p_name, '(?i)\\b(red|blue)\\b', '<em>\\1</em>', 'g') as marked from part", lambda s, d: t(s, d, "part").select("p_partkey", terms.mark(F.col("p_name"), ["red", "blue"]).alias("marked")))
 add("h_fragments", None, lambda s, d: t(s, d, "documents").select("doc_id", terms.fragments(F.col("text"), ["the", "of"]).alias("fragments")))
 
-add("h_terms", "select doc_id, contains(lower(text), 'password') as marked from documents where list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 'password')", lambda s, d: docs(s, d).highlighted(Search((Clause("FILTER", "text:password"),), sorts=(Sort("doc_id"),), amount=100_000), "text").select("doc_id", F.get("highlight", 0).contains("<em>").alias("marked")))
+add("h_terms", "select doc_id, contains(lower(text), 'password') as marked from documents where list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 'password')", lambda s, d: docs(s, d).hits(Search((Clause("FILTER", "text:password"),)), scored=False).select("doc_id", terms.mark(F.col("text"), ["password"]).contains("<em>").alias("marked")))
 add("an_override", "select doc_id, len(regexp_extract_all(text, '\\S+'))::bigint as n from documents where lang = 'en'", lambda s, d: t(s, d, "documents").where("lang = 'en'").select("doc_id", F.size(analysis.tokens(F.col("text"), "whitespace")).cast("long").alias("n")))
 add("t_last", f"select term, count(distinct doc_id) as doc_freq from {TERM} where term > 'cb' and regexp_full_match(term, '[a-z]+') group by term order by term limit 50", lambda s, d: terms.term_list(t(s, d, "documents"), text_tokens(s, d), terms.behind("cb"), keep="[a-z]+", amount=50).select("term", "doc_freq"))
 

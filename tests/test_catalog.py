@@ -40,3 +40,10 @@ def test_fragments_of_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: [x] if (x := re.sub(r"(?i)\b(the|of)\b", r"<em>\1</em>", text or "")) != (text or "") else [] for i, text, *_ in rows}
     assert {r.doc_id: r.fragments for r in QUERIES["h_fragments"](spark, str(tmp_path)).collect()} == want
+
+
+def test_terms_are_marked_beyond_a_page(spark, tmp_path):
+    cols = ("id as doc_id", "if(id % 2 = 0, 'a Password', 'password b') as text", "'en' as lang", "'s' as source", "10L as n_chars")
+    spark.range(100_010).selectExpr(*cols).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["h_terms"](spark, str(tmp_path))
+    assert got.count() == got.where("marked").select("doc_id").distinct().count() == 100_010
