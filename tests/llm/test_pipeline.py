@@ -100,3 +100,17 @@ def test_the_mix(stages):
     got = sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in stages[4][1].collect())
     want = sql(stages[4], f"select doc_id, size, source_size, round(target, 6), taken from ({mixing.ORACLE})").fetchall()
     assert got == sorted(want) and sum(r[4] for r in got) > 0
+
+
+def test_run_reads_what_each_stage_wrote(spark, tmp_path, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs.inputFiles())
+        return docs.selectExpr("doc_id + 1 as doc_id")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    spark.range(5).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [3, 4, 5, 6, 7]
+    assert all("/documents.parquet/" in f for f in seen[0]) and seen[0]
+    assert all(files and all(f"/{name}/" in f for f in files) for name, files in zip(("one", "two"), seen[1:], strict=True))
