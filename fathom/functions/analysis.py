@@ -206,7 +206,7 @@ def strip_html(c: Column) -> Column:
 
 
 TOKENIZERS: dict[str, tuple[Callable, Callable]] = {
-    "tok_standard": (lambda c: F.regexp_extract_all(c, F.lit(WORD_PATTERN), F.lit(0)), lambda s: re.findall(r"\w+", s)),
+    "tok_standard": (lambda c: F.regexp_extract_all(c, F.lit(WORD_PATTERN + "+"), F.lit(0)), lambda s: re.findall(r"\w+", s)),
     "tok_whitespace": (lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != ""), str.split),
     "tok_keyword": (lambda c: F.when(c.isNotNull(), F.array(c)), lambda s: [s]),
 }

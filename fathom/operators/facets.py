@@ -23,6 +23,25 @@ def paths(values: Column, f: FieldConfig) -> Column:
     return F.array_distinct(F.filter(F.transform(values, one), lambda p: F.get(p, 0) != ""))
 
 
+def label(c: Column, f: FieldConfig, path: tuple = ()) -> Column:
+    """The one label of a one-valued field below a path, null if it has none: no arrays and no lambdas."""
+    n = len(path)
+    if f.facet != "HIERARCHICAL":
+        one = F.date_format(c, f.date_format) if f.type == "DATE" else F.when(c, "True").when(~c, "False") if f.type == "BOOL" else c.cast("string")
+        return F.when(one != "", one) if not n else F.lit(None).cast("string")
+    if f.type == "DATE":
+        parts = [p(c).cast("string") for p in (F.year, F.month, F.dayofmonth)]
+        if n >= len(parts):
+            return F.lit(None).cast("string")
+    else:
+        whole = F.split(c.cast("string"), "/")
+        parts = [F.get(whole, i) for i in range(n + 1)]
+    test = parts[0] != ""
+    for part, want in zip(parts, path, strict=False):
+        test &= part == want
+    return F.when(test, parts[n])
+
+
 def under(path: list | tuple):
     """A test of paths: is it this one, or below it?"""
     want = F.array(*map(F.lit, path))
@@ -41,6 +60,18 @@ def count(hits: DataFrame, all_paths: Column, path: tuple = (), top: int = 10) -
     return out if top < 0 else out.limit(top)
 
 
+def count_labels(hits: DataFrame, one: Column, top: int = 10) -> DataFrame:
+    """`count` for a field with one label a row."""
+    out = hits.select(one.alias("label")).where("label is not null").groupBy("label").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "label")
+    return out if top < 0 else out.limit(top)
+
+
+def count_many_labels(hits: DataFrame, dims: dict[str, Column]) -> DataFrame:
+    """`count_many` for fields with one label a row: a row for each dimension, counted together."""
+    pairs = hits.select(F.stack(F.lit(len(dims)), *[x for d, c in dims.items() for x in (F.lit(d), c)])).toDF("dimension", "label")
+    return pairs.where("label is not null").groupBy("dimension", "label").agg(F.count("*").alias("count"))
+
+
 def count_many(hits: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """Several facets in one pass: (dimension, label) pairs are exploded once and counted together."""
 
@@ -69,13 +100,29 @@ def statistics(hits: DataFrame, values: Column, by: Column | None, path: tuple,
         F.count("*").alias("all_doc_count"),
         F.sum(F.greatest(n, F.lit(0))).cast("long").alias("value_count"),
     ]
-    keys = ["label"] if by is not None else []
+    return _finished(base, aggs, by is not None, top, points, accuracy, F.explode("v"))
+
+
+def statistics_of(hits: DataFrame, value: Column, by: Column | None, top: int, points: tuple[float, ...] = (), accuracy: float = 0.001) -> DataFrame:
+    """`statistics` of a field with one value a row, by one label a row if asked: plain aggregates."""
+    if any(not 0 <= p <= 1 for p in points):
+        raise QueryError("quantile points lie between 0 and 1")
+    base = hits.select(value.alias("v"), *([by.alias("label")] if by is not None else []))
+    base = base.where("label is not null") if by is not None else base
+    count = F.count("v")
+    aggs = [F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.col("v").cast("double")).alias("sum"), count.alias("doc_count"), F.count("*").alias("all_doc_count"), count.alias("value_count")]
+    return _finished(base, aggs, by is not None, top, points, accuracy, F.col("v"))
+
+
+def _finished(base: DataFrame, aggs: list[Column], labelled: bool, top: int, points: tuple[float, ...], accuracy: float, each: Column) -> DataFrame:
+    """The aggregates, by label if there is one, largest sum first, with quantiles; `each` makes rows of single values."""
+    keys = ["label"] if labelled else []
     out = base.groupBy(*keys).agg(*aggs)
     if keys:
         out = out.orderBy(F.desc_nulls_last("sum"), "label")
         out = out if top < 0 else out.limit(top)
     if points:
-        q = quantiles(base.select(*keys, F.explode("v").alias("x")), "x", points, accuracy, keys)
+        q = quantiles(base.select(*keys, each.alias("x")), "x", points, accuracy, keys)
         out = out.join(q, keys, "left") if keys else out.crossJoin(q)
     return out
 

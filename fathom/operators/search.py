@@ -19,7 +19,7 @@ from fathom.operators import terms as TE
 from fathom.operators import vectors as V
 from fathom.operators.similar import Like, lexical, resolve
 from fathom.plans import lang
-from fathom.plans.compile import Compiled, Compiler
+from fathom.plans.compile import Compiled, Compiler, all_of, any_of
 
 KINDS = ("FILTER", "FILTER_NOT", "SCORE_MUST", "SCORE_SHOULD", "TERMS", "TERMS_NOT", "NUMERIC_SET", "NUMERIC_SET_NOT", "VECTOR", "VECTOR_SHOULD", "MORE_LIKE_THIS")
 
@@ -163,7 +163,7 @@ class Searcher:
     @staticmethod
     def _least(parts: list[Compiled], n: int) -> Compiled:
         match = reduce(lambda a, b: a + b, [p.match.cast("int") for p in parts]) >= n
-        return Compiled(match, lambda s: F.when(match, reduce(lambda a, b: a + b, [p.score(s) for p in parts])).otherwise(0.0))
+        return Compiled(match, lambda s: F.when(match, reduce(lambda a, b: a + b, [p.score(s) for p in parts])).otherwise(0.0), need=any_of([p.need for p in parts]))
 
     def variable(self, comp: Compiler, name: str, score: Column) -> Column:
         if name == "score":
@@ -183,7 +183,7 @@ class Searcher:
     def hits(self, s: Search, scored: bool | None = None) -> DataFrame:
         """Matching rows, with a `score` column if clauses, sorts or `scored` ask for one."""
         comp = Compiler(self.df, self.config, dict(s.similarity))
-        must, should, vectors = [], [], []
+        must, should, vectors, needs = [], [], [], []
         tests: list[Column] = []
         plain = [c for c in s.clauses if not c.kind.startswith("VECTOR") and c.kind != "MORE_LIKE_THIS"]
         for c in s.clauses:
@@ -193,10 +193,12 @@ class Searcher:
             got = self._clause(comp, c)
             if c.score_function:
                 inner, text = got, c.score_function
-                got = Compiled(inner.match, lambda st, i=inner, t=text: F.when(i.match, compile_score(t, lambda n: self.variable(comp, n, i.score(st)), lambda f, a, o: self.distance(comp, f, a, o))).otherwise(0.0))
+                got = Compiled(inner.match, lambda st, i=inner, t=text: F.when(i.match, compile_score(t, lambda n: self.variable(comp, n, i.score(st)), lambda f, a, o: self.distance(comp, f, a, o))).otherwise(0.0), need=inner.need)
             if c.boost not in (0, 1):
                 inner = got
-                got = Compiled(inner.match, lambda st, i=inner, b=c.boost: i.score(st) * F.lit(b))
+                got = Compiled(inner.match, lambda st, i=inner, b=c.boost: i.score(st) * F.lit(b), need=inner.need)
+            if c.kind in ("FILTER", "TERMS", "SCORE_MUST", "NUMERIC_SET"):
+                needs.append(got.need)
             if c.kind in ("FILTER", "TERMS"):
                 tests.append(got.match)
                 if len(s.clauses) == 1 and not s.drill_downs:
@@ -211,7 +213,8 @@ class Searcher:
         has_must = any(c.kind in ("FILTER", "TERMS", "SCORE_MUST", "NUMERIC_SET") for c in plain) or any(c.kind != "VECTOR_SHOULD" for c in vectors)
         if should and not has_must and not any(c.kind == "VECTOR_SHOULD" for c in vectors):
             tests.append(reduce(lambda a, b: a | b, [c.match for c in should]))
-        df = comp.prepared(self.df)
+            needs.append(any_of([c.need for c in should]))
+        df = comp.prepared(self.df, all_of(needs))
         for d in s.drill_downs:
             tests.append(self.drill(comp, d))
         if tests:
@@ -222,13 +225,14 @@ class Searcher:
             df = df.withColumn("score", reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0))
         for c in vectors:
             df = self._like(df, c) if c.like else self._vector(df, c)
-        return df.drop(*(f"_tok_{n}" for n in comp.made))
+        return df.drop(*(c for c in df.columns if c.startswith("_tok_")))
 
     def _vector(self, df: DataFrame, c: Clause) -> DataFrame:
         pool = self.df
         for q in c.pre:
             comp = Compiler(pool, self.config)
-            pool = pool.where(comp.compile(lang.parse(q)).match)
+            got = comp.compile(lang.parse(q))
+            pool = comp.prepared(pool, got.need).where(got.match)
         for name in c.fields:
             f = self.config.stored(name)
             if f and f.dimension and len(c.values) != f.dimension:
@@ -249,8 +253,8 @@ class Searcher:
         if like.ids and not like.include_sources and like.index is None:
             df, pool = (x.where(~F.col(self.config.id_field).isin(list(like.ids))) for x in (df, pool))
         if texts and like.text_fields:
-            match, score = lexical(self.df, self.config, like.text_fields, texts, like.mm, **dict(like.options))
-            score = score * like.text_weight
+            match, score, comp = lexical(self.df, self.config, like.text_fields, texts, like.mm, **dict(like.options))
+            df, score = comp.prepared(df), score * like.text_weight
         if mean is not None:
             kind = "COSINE" if self.config.stored(like.vector_field).type == "VECTOR" else "DOT_PRODUCT"
             top = V.nearest(pool, like.vector_field, mean, like.top_n, kind, self.config.id_field)
@@ -268,10 +272,21 @@ class Searcher:
             raise QueryError(f"{label} isn't a facet")
         return FA.paths(comp.values(f), f)
 
+    def one_label(self, comp: Compiler, label: str, path: tuple = ()) -> Column | None:
+        """The label below a path of a facet with one value a row; None if its field holds lists."""
+        f = self.config.stored(label)
+        if not f or not f.facet:
+            raise QueryError(f"{label} isn't a facet")
+        return None if comp.is_list(f) else FA.label(comp.value(f), f, path)
+
     def drill(self, comp: Compiler, d: DrillDown) -> Column:
-        paths = self.facet_paths(comp, d.label)
         wanted = [list(v) if isinstance(v, (tuple, list)) else [v] for v in d.values]
-        has = [F.coalesce(F.exists(paths, FA.under(w)), F.lit(False)) for w in wanted]
+        if self.one_label(comp, d.label) is not None:
+            f = self.config.stored(d.label)
+            has = [F.coalesce(FA.label(comp.value(f), f, tuple(w[:-1])) == w[-1], F.lit(False)) for w in wanted]
+        else:
+            paths = self.facet_paths(comp, d.label)
+            has = [F.coalesce(F.exists(paths, FA.under(w)), F.lit(False)) for w in wanted]
         if d.mm is not None:
             ok = reduce(lambda a, b: a + b, [h.cast("int") for h in has]) >= d.mm
         else:
@@ -288,12 +303,17 @@ class Searcher:
         Nothing is counted if there are more than `max_hits` hits.
         """
         hits = self.few(self.hits(s, scored=False), max_hits)
-        return FA.count(hits, self.facet_paths(Compiler(hits, self.config), label), path, top)
+        comp = Compiler(hits, self.config)
+        one = self.one_label(comp, label, path)
+        return FA.count_labels(hits, one, top) if one is not None else FA.count(hits, self.facet_paths(comp, label), path, top)
 
     def counts(self, s: Search, labels: list[str]) -> DataFrame:
         """(dimension, label, count) of several flat facets in one aggregation over the hits."""
         hits = self.hits(s, scored=False)
         comp = Compiler(hits, self.config)
+        single = {x: self.one_label(comp, x) for x in labels}
+        if all(c is not None for c in single.values()):
+            return FA.count_many_labels(hits, single)
         return FA.count_many(hits, {x: self.facet_paths(comp, x) for x in labels})
 
     def stat(self, s: Search, name: str, facet: str | None = None, path: tuple = (), top: int = 10, quantiles: tuple[float, ...] = (), accuracy: float = 0.001, max_hits: int | None = None) -> DataFrame:
@@ -303,6 +323,11 @@ class Searcher:
             raise QueryError(f"{name} isn't a sortable number")
         hits = self.few(self.hits(s, scored=False), max_hits)
         comp = Compiler(hits, self.config)
+        by = self.one_label(comp, facet, path) if facet else None
+        if not comp.is_list(f) and (by is not None or not facet):
+            one = comp.value(f)
+            one = F.unix_millis(one.cast("timestamp")) if f.type == "DATE" else one.cast("long") if f.type == "BOOL" else one
+            return FA.statistics_of(hits, one, by, top, quantiles, accuracy)
         v = comp.values(f)
         if f.type in ("DATE", "BOOL"):
             v = F.transform(v, lambda x: F.unix_millis(x.cast("timestamp")) if f.type == "DATE" else x.cast("long"))
@@ -347,7 +372,7 @@ class Searcher:
     def top(self, s: Search) -> DataFrame:
         """The page of hits that a request asks for: sorted, skipped to `start` or `after`, projected, `amount` rows."""
         if not s.sorts:
-                s = replace(s, sorts=(Sort("score", True),))
+            s = replace(s, sorts=(Sort("score", True),))
         scores = any(x.name == "score" for x in s.sorts)
         hits = self.hits(s, scored=True if scores else None)
         if scores and "score" not in hits.columns:

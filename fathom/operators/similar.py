@@ -51,8 +51,8 @@ def pick_terms(df: DataFrame, config: IndexConfig, field: str, texts: list[str],
     return [(w, tf[w], d) for _, w, d in sorted(ranked)[:max_terms]], stats
 
 
-def lexical(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts: list[str], mm: int = 1, **options) -> tuple[Column, Column]:
-    """Which rows share at least `mm` of the picked terms of a field, and their score."""
+def lexical(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts: list[str], mm: int = 1, **options) -> tuple[Column, Column, Compiler]:
+    """Which rows share at least `mm` of the picked terms of a field, their score, and the compiler that prepares rows."""
     score, match = F.lit(0.0), F.lit(False)
     comp = Compiler(df, config)
     for f in fields:
@@ -66,13 +66,14 @@ def lexical(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts:
         for (w, _, d), h in zip(words, has, strict=True):
             tf = F.size(F.filter(tok, equals(w))).cast("double")
             score = score + F.when(h, similarity("bm25", tf, size, stats["n"], d, stats[("mean", f)] or 1.0)).otherwise(0.0)
-    return match, score
+    return match, score, comp
 
 
 def more_like(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts: list[str], exclude: list | None = None, mm: int = 1, **options) -> DataFrame:
     """Rows that share at least `mm` of the picked terms of a field, with their score, best first."""
-    match, score = lexical(df, config, fields, texts, mm, **options)
-    out = df.where(match).withColumn("score", score)
+    match, score, comp = lexical(df, config, fields, texts, mm, **options)
+    out = comp.prepared(df).where(match).withColumn("score", score)
+    out = out.select(*df.columns, "score")
     if exclude:
         out = out.where(~F.col(config.id_field).isin(exclude))
     return out.orderBy(F.desc("score"), config.id_field)

@@ -41,7 +41,10 @@ def batch_fetch(stored: DataFrame, ids: DataFrame, id_field: str) -> DataFrame:
 
 
 def shard_of(id_column: Column, shards: int) -> Column:
-    """A shard number by the 64-bit djb2 hash of the id's characters, wrapping as machine words do."""
+    """A shard number: the size of the id's 64-bit djb2 hash, wrapping as machine words do, modulo the shards.
+
+    The characters of ids lie in the basic plane. The one hash without a positive counterpart, -2**63, is taken as 2**63.
+    """
     # 33 * h + c is kept below 2**63 by splitting h; ANSI arithmetic never overflows
     mask = (1 << 32) - 1
 
@@ -52,7 +55,8 @@ def shard_of(id_column: Column, shards: int) -> Column:
 
     start = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(5381).cast("long").alias("lo"))
     h = F.aggregate(F.filter(F.split(id_column, ""), lambda c: c != ""), start, step, lambda a: F.shiftleft(a["hi"], 32).bitwiseOR(a["lo"]))
-    return F.pmod(h, F.lit(shards)).cast("int")
+    rest = h % shards  # has the sign of h; |h| % n = |h % n|
+    return F.abs(rest).cast("int")
 
 
 def dump(df: DataFrame, config: IndexConfig, path: str) -> None:

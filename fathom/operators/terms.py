@@ -12,20 +12,31 @@ from pyspark.sql.window import Window
 from fathom.operators.intervals import edits
 
 
-def postings(df: DataFrame, id_field: str, tokens: Column) -> DataFrame:
-    """(id, term, tf, size): one row per document and term, combined before the shuffle of any later count."""
-    t = df.select(F.col(id_field).alias("id"), F.filter(tokens, lambda x: x.isNotNull()).alias("t"))
-    return t.select("id", F.size("t").alias("size"), F.explode("t").alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
+def held(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
+    """df's columns `keep` with columns made once a row, behind a generator, so that no use makes them again."""
+    return df.select(*keep, *[F.explode(F.array(c)).alias(n) for n, c in made.items()])
+
+
+def postings(df: DataFrame, id_field: str, tokens: Column, keep: str | None = None) -> DataFrame:
+    """(id, term, tf, size): one row per document and term, combined before the shuffle of any later count.
+
+    `keep` is a whole-term regex; size counts all tokens.
+    """
+    t = held(df.select(F.col(id_field).alias("id"), tokens.alias("raw")), "id", t=F.col("raw"))
+    t = t.select("id", F.size("t").alias("size"), F.explode("t").alias("term")).where("term is not null")
+    t = t.where(F.col("term").rlike(f"^(?:{keep})$")) if keep else t
+    return t.groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
 
 
 def term_list(df: DataFrame, tokens: Column, start: str | None = None, end: str | None = None, keep: str | None = None, drop: str | None = None, min_df: int = 0, min_tf: int = 0, only: list[str] | None = None, amount: int = -1) -> DataFrame:
     """(term, doc_freq, term_freq) by term: from `start` up to but without `end`, kept and dropped by whole-term regex.
 
-    Each document's terms are counted in its own row, so rows are shuffled as (term, counts) combined by task.
+    Each document's tokens are sorted in its own row, and a token unlike the one before it counts the document. Tokens
+    out of range leave first, and what is shuffled are counts combined by task.
     """
-    t = F.filter(tokens, lambda x: x.isNotNull())
-    one = df.select(t.alias("t")).select(F.explode(F.array_distinct("t")).alias("term"), "t")
-    one = one.select("term", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("tf"))
+    t = held(df.select(tokens.alias("raw")), t=F.sort_array("raw"))
+    one = t.select(F.posexplode("t").alias("at", "term"), "t")
+    one = one.where(F.col("term").isNotNull())
     if start is not None:
         one = one.where(F.col("term") >= start)
     if end is not None:
@@ -36,7 +47,8 @@ def term_list(df: DataFrame, tokens: Column, start: str | None = None, end: str
         one = one.where(F.col("term").rlike(f"^(?:{keep})$"))
     if drop:
         one = one.where(~F.col("term").rlike(f"^(?:{drop})$"))
-    out = one.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("term_freq"))
+    one = one.select("term", F.when(F.col("at") == 0, 1).otherwise(F.when(F.get("t", F.col("at") - 1).eqNullSafe(F.col("term")), 0).otherwise(1)).alias("new"))
+    out = one.groupBy("term").agg(F.sum("new").alias("doc_freq"), F.count("*").alias("term_freq"))
     out = out.where((F.col("doc_freq") >= min_df) & (F.col("term_freq") >= min_tf)).orderBy("term")
     return out if amount < 0 else out.limit(amount)
 
@@ -57,13 +69,14 @@ def fuzzy_terms(terms: DataFrame, word: str, most: int = 2, prefix: int = 0, swa
     return t.withColumn("score", 1 - F.col("distance") / F.greatest(F.lit(1), F.least(F.length("term"), F.lit(len(word)))))
 
 
-def document_terms(df: DataFrame, id_field: str, tokens: Column, top: int = 10, order: str = "TFIDF", min_length: int = 0, max_length: int = 1 << 30, min_df: float = 0, max_df: float = 1 << 60, rows: int | None = None) -> DataFrame:
+def document_terms(df: DataFrame, id_field: str, tokens: Column, top: int = 10, order: str = "TFIDF", min_length: int = 0, max_length: int = 1 << 30, min_df: float = 0, max_df: float = 1 << 60, rows: int | None = None, keep: str | None = None) -> DataFrame:
     """(id, term, tf, doc_freq, score): each document's first terms by TFIDF, TF or alphabet (ABC).
 
     min_df and max_df below 1 are shares of all documents. Document frequencies are a window-free aggregate joined back.
+    `keep` is a whole-term regex.
     """
-    p = postings(df, id_field, tokens).where(F.length("term").between(min_length, max_length))
-    n = rows if rows is not None else df.count()
+    p = postings(df, id_field, tokens, keep).where(F.length("term").between(min_length, max_length))
+    n = rows if rows is not None else df.select(id_field).count()
     freq = p.groupBy("term").agg(F.count("*").alias("doc_freq"))
     low, high = (x * n if x < 1 else x for x in (min_df, max_df))
     freq = freq.where(F.col("doc_freq").between(low, high))
@@ -73,9 +86,9 @@ def document_terms(df: DataFrame, id_field: str, tokens: Column, top: int = 10,
     return ranked.select("id", "term", "tf", "doc_freq", "score", "rank")
 
 
-def summary_terms(df: DataFrame, id_field: str, tokens: Column, top: int = 10, per_document: int | None = None) -> DataFrame:
+def summary_terms(df: DataFrame, id_field: str, tokens: Column, top: int = 10, per_document: int | None = None, keep: str | None = None) -> DataFrame:
     """(term, tf, docs) over all hits, most frequent first; with per_document only of each one's first terms."""
-    p = document_terms(df, id_field, tokens, per_document, "TFIDF") if per_document else postings(df, id_field, tokens)
+    p = document_terms(df, id_field, tokens, per_document, "TFIDF", keep=keep) if per_document else postings(df, id_field, tokens, keep)
     return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("docs")).orderBy(F.desc("tf"), "term").limit(top)
 
 

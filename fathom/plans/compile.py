@@ -27,9 +27,21 @@ _CAST = {"INT": "int", "LONG": "long", "FLOAT": "float", "DOUBLE": "double", "DA
 
 @dataclass
 class Compiled:
+    """need: a test of stored columns that every match passes, to drop rows before their text is split; None: any row."""
+
     match: Column
     score: Callable[[dict], Column]
     pure_not: bool = False
+    need: Column | None = None
+
+
+def all_of(tests: list[Column | None]) -> Column | None:
+    some = [t for t in tests if t is not None]
+    return reduce(lambda a, b: a & b, some) if some else None
+
+
+def any_of(tests: list[Column | None]) -> Column | None:
+    return reduce(lambda a, b: a | b, tests) if tests and all(t is not None for t in tests) else None
 
 
 @dataclass
@@ -68,6 +80,12 @@ class Compiler:
         c = F.filter(c, lambda x: x.isNotNull())
         return F.transform(c, lambda x: x.try_cast(_CAST[f.type])) if f.type in _CAST else c
 
+    def value(self, f: FieldConfig) -> Column:
+        """The value of a field that holds one, as its declared type."""
+        c = self.stored(f)
+        kind = self.df.select(c).schema[0].dataType.simpleString()
+        return c if f.type not in _CAST or kind == _CAST[f.type] else c.try_cast(_CAST[f.type])
+
     def any(self, f: FieldConfig, test: Callable[[Column], Column]) -> Column:
         if not self.is_list(f):
             c = self.stored(f)
@@ -76,15 +94,36 @@ class Compiler:
         return F.exists(self.values(f), test)
 
     def tokens(self, name: str) -> Column:
+        """The tokens of a field as a column that `prepared` adds."""
+        self.made.add(name)
+        return F.col(f"`_tok_{name}`")
+
+    def prepared(self, df: DataFrame, need: Column | None = None) -> DataFrame:
+        """The rows of df that pass `need`, with the tokens of every field asked for.
+
+        Tokens stand behind a generator, which the optimiser neither repeats in each use nor pushes tests through, so a
+        text is split once, and only if it passes the tests of stored columns, which sink below.
+        """
+        made = [n for n in sorted(self.made) if f"_tok_{n}" not in df.columns]
+        df = df.where(need) if need is not None and made else df
+        for n in made:
+            f, analyzer = self.search_field(n)
+            tokens = self.token_expr(f, analyzer)
+            if analyzer and analysis.in_python(analyzer, self.config):
+                df = df.withColumn(f"_tok_{n}", tokens)
+            else:
+                df = df.select("*", F.explode(F.array(tokens)).alias(f"_tok_{n}"))
+        return df
+
+    def holds(self, name: str, word: str) -> Column | None:
+        """Whether the stored text has the characters of a token, if the analyzer keeps them but for case."""
         f, analyzer = self.search_field(name)
-        if analyzer and analysis.in_python(analyzer, self.config):
-            self.made.add(name)
-            return F.col(f"_tok_{name}")
-        return self.token_expr(f, analyzer)
-
-    def prepared(self, df: DataFrame) -> DataFrame:
-        """df with the tokens that only Python can make as columns."""
-        return df.withColumns({f"_tok_{n}": self.token_expr(*self.search_field(n)) for n in sorted(self.made)}) if self.made else df
+        rest = analysis.steps(analyzer or "whitespace", self.config)
+        if self.is_list(f) or rest[0] not in analysis.TOKENIZERS or set(rest[1:]) - {"lower"}:
+            return None
+        if len(rest) == 1:
+            return F.contains(self.stored(f).cast("string"), F.lit(word))
+        return F.contains(F.lower(self.stored(f).cast("string")), F.lit(word)) if word.isascii() else None
 
     def token_expr(self, f: FieldConfig, analyzer: str) -> Column:
         if not self.is_list(f):
@@ -116,7 +155,7 @@ class Compiler:
             return Compiled(F.lit(True), lambda s: F.lit(1.0))
         if isinstance(node, lang.Boost):
             c = self.compile(node.of)
-            return Compiled(c.match, lambda s: c.score(s) * F.lit(node.by), c.pure_not)
+            return Compiled(c.match, lambda s: c.score(s) * F.lit(node.by), c.pure_not, c.need)
         if isinstance(node, lang.Bool):
             return self.bool(node)
         if isinstance(node, lang.Geo):
@@ -124,14 +163,18 @@ class Compiler:
         fields = self.spread(getattr(node, "fields", None))
         return self.either([self.leaf(n, node, b) for n, b in fields])
 
-    def constant(self, match: Column, by: float = 1.0) -> Compiled:
+    def constant(self, match: Column, by: float = 1.0, need: Column | None = None) -> Compiled:
         match = F.coalesce(match, F.lit(False))
-        return Compiled(match, lambda s: F.when(match, F.lit(by)).otherwise(0.0))
+        return Compiled(match, lambda s: F.when(match, F.lit(by)).otherwise(0.0), need=need)
+
+    def stored_test(self, match: Column, by: float = 1.0) -> Compiled:
+        """A constant score for a test of stored columns alone."""
+        return self.constant(match, by, F.coalesce(match, F.lit(False)))
 
     def either(self, parts: list[Compiled]) -> Compiled:
         if len(parts) == 1:
             return parts[0]
-        return Compiled(reduce(lambda a, b: a | b, [p.match for p in parts]), lambda s: reduce(lambda a, b: a + b, [p.score(s) for p in parts]))
+        return Compiled(reduce(lambda a, b: a | b, [p.match for p in parts]), lambda s: reduce(lambda a, b: a + b, [p.score(s) for p in parts]), need=any_of([p.need for p in parts]))
 
     def bool(self, node: lang.Bool) -> Compiled:
         must, may, never = ([self.compile(n) for o, n in node.clauses if o == k] for k in ("+", "", "-"))
@@ -145,7 +188,8 @@ class Compiler:
         elif may and least > 1:
             tests.append(reduce(lambda a, b: a + b, [c.match.cast("int") for c in may]) >= least)
         match = reduce(lambda a, b: a & b, tests)
-        return Compiled(match, lambda s: F.when(match, reduce(lambda a, b: a + b, [c.score(s) for c in must + may])).otherwise(0.0))
+        need = all_of([c.need for c in must] + [any_of([c.need for c in may]) if least else None])
+        return Compiled(match, lambda s: F.when(match, reduce(lambda a, b: a + b, [c.score(s) for c in must + may])).otherwise(0.0), need=need)
 
     # leaves
 
@@ -159,14 +203,14 @@ class Compiler:
             return no
         f, _ = found
         if isinstance(node, lang.Text) and node.kind == "wildcard" and node.text == "*":
-            return self.constant(self.stored(f).isNotNull(), boost)
+            return self.stored_test(self.stored(f).isNotNull(), boost)
         if isinstance(node, lang.Intervals):
             fn = intervals.analyzed(node.fn, lambda t: analysis.query_tokens(t, self.search_field(name)[1] or "whitespace", self.config))
             return self.constant(intervals.matches(self.tokens(name), fn), boost)
         if isinstance(node, lang.Set_):
-            return self.constant(self.numbers(f, node.values) if node.numbers else self.raw_terms(name, node.values), boost)
+            return self.stored_test(self.numbers(f, node.values), boost) if node.numbers else self.constant(self.raw_terms(name, node.values), boost)
         if f.type in NUMBERS or f.type in ("DATE", "BOOL"):
-            return self.constant(self.typed(f, node), boost)
+            return self.stored_test(self.typed(f, node), boost)
         if f.type != "STRING":
             raise QueryError(f"{name}: a {f.type} field has no text search")
         if isinstance(node, lang.Range):
@@ -184,7 +228,7 @@ class Compiler:
         if node.kind == "wildcard":
             t = fold(node.text)
             if re.fullmatch(r"[^*?\\]+\*", t):
-                return some(lambda x: x.startswith(t[:-1]))
+                return self.constant(F.exists(tok, lambda x: F.coalesce(x.startswith(t[:-1]), F.lit(False))), boost, self.holds(name, t[:-1]))
             parts = re.split(r"(\\.|[*?])", t)
             pattern = "".join(".*" if p == "*" else "." if p == "?" else re.escape(p[-1:] if p.startswith("\\") else p) for p in parts)
             return some(lambda x: x.rlike(f"^(?s:{pattern})$"))
@@ -199,11 +243,23 @@ class Compiler:
         if node.kind == "phrase" and node.n:
             match = intervals.sloppy(tok, words, node.n)
         else:
-            n = len(words)
-            want = F.array(*map(F.lit, words))
-            match = F.coalesce(reduce(lambda a, b: a & b, [F.array_contains(tok, w) for w in dict.fromkeys(words)]) & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tok) - (n - 1))), lambda i: F.slice(tok, i, n) == want), F.lit(False))
+            every = reduce(lambda a, b: a & b, [F.array_contains(tok, w) for w in dict.fromkeys(words)])
+            match = F.coalesce(every & self.adjacent(name, tok, words), F.lit(False))
         parts = [self.term(name, w, boost, tok) for w in dict.fromkeys(words)]
-        return Compiled(match, lambda s: F.when(match, reduce(lambda a, b: a + b, [p.score(s) for p in parts])).otherwise(0.0))
+        return Compiled(match, lambda s: F.when(match, reduce(lambda a, b: a + b, [p.score(s) for p in parts])).otherwise(0.0), need=all_of([p.need for p in parts]))
+
+    def adjacent(self, name: str, tok: Column, words: list[str]) -> Column:
+        """Whether the tokens hold the words in a row, in one pass.
+
+        Tokens of letters and digits alone are joined with a control character, so that a text search finds the row of
+        words; other tokens are compared slice by slice.
+        """
+        rest = analysis.steps(self.search_field(name)[1] or "whitespace", self.config)
+        if "tok_standard" in rest and not any(s.startswith("shingle") for s in rest):
+            mark, gap = "\x1f", "\x1e"
+            return F.contains(F.concat(F.lit(mark), F.array_join(tok, mark, gap), F.lit(mark)), F.lit(mark + mark.join(words) + mark))
+        want, n = F.array(*map(F.lit, words)), len(words)
+        return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tok) - (n - 1))), lambda i: F.slice(tok, i, n) == want)
 
     def term(self, name: str, word: str, boost: float, tok: Column) -> Compiled:
         self.terms.add((name, word))
@@ -211,13 +267,19 @@ class Compiler:
         kind = self.similarity.get(name, "bm25")
 
         def score(s: dict) -> Column:
-            tf = F.size(F.filter(tok, lambda t: t == word)).cast("double")
+            tf = (F.size(tok) - F.size(F.array_remove(tok, word))).cast("double")
             n, df, mean = s["n"], s[("df", name, word)], s[("mean", name)] or 1.0
-            size = F.size(F.filter(tok, lambda t: t.isNotNull())).cast("double")
+            size = self.size(name, tok).cast("double")
             value = similarity(kind, tf, size, n, df, mean)
             return F.when(match, value * F.lit(boost)).otherwise(0.0)
 
-        return Compiled(match, score)
+        return Compiled(match, score, need=self.holds(name, word))
+
+    def size(self, name: str, tok: Column) -> Column:
+        """The number of tokens; gaps of stopped words and between the values of lists don't count."""
+        f, analyzer = self.search_field(name)
+        gaps = self.is_list(f) or "stop" in analysis.steps(analyzer or "whitespace", self.config)
+        return F.size(F.filter(tok, lambda t: t.isNotNull())) if gaps else F.size(tok)
 
     def length(self, bars: str, name: str, node: lang.Node, boost: float) -> Compiled:
         found = self.search_field(name) or ((self.config.stored(name), "") if self.config.stored(name) else None)
@@ -315,9 +377,10 @@ class Compiler:
             return {"n": 0}
         pairs = sorted(self.terms)
         names = sorted({f for f, _ in pairs})
+        self.made |= set(names)
         tok = self.prepared(self.df).select(*(self.tokens(f).alias(f"t{i}") for i, f in enumerate(names)))
         at = {f: F.col(f"t{i}") for i, f in enumerate(names)}
-        sizes = [F.avg(F.when(F.size(at[f]) > 0, F.size(F.filter(at[f], lambda t: t.isNotNull())))).alias(f"m{i}") for i, f in enumerate(names)]
+        sizes = [F.avg(F.when(F.size(at[f]) > 0, self.size(f, at[f]))).alias(f"m{i}") for i, f in enumerate(names)]
         held = [F.count_if(F.array_contains(at[f], w)).alias(f"d{i}") for i, (f, w) in enumerate(pairs)]
         r = tok.agg(F.count("*").alias("n"), *sizes, *held).first()
         out: dict = {"n": r.n} | {("mean", f): r[f"m{i}"] for i, f in enumerate(names)}
