@@ -19,7 +19,8 @@ def axes(vectors: np.ndarray) -> np.ndarray:
     """Orthonormal columns by falling second moment; they only order the work, so a sample will do."""
     if not len(vectors):
         return np.eye(vectors.shape[1])
-    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     _, v = np.linalg.eigh(x.T @ x)
     return np.ascontiguousarray(v[:, ::-1])
 
@@ -30,8 +31,8 @@ def close_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, at_least: fl
     Both are rotated; products of the leading axes come first, and a pair is given up once these plus the product of
     the norms of what is left (Cauchy-Schwarz) can't reach the bound. Within EPS of it the given vectors decide.
     """
-    x, y = (v.astype(np.float64) for v in (a, b))
-    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    a, b = (v.astype(np.float64) / np.abs(v).max(axis=1, keepdims=True).astype(np.float64) for v in (a, b))
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (a, b))
     p, q = x @ rotation, y @ rotation
     dim, lead = p.shape[1], min(8, p.shape[1])
     rest = lambda v, k: np.sqrt(np.maximum(0, (v[:, k:] ** 2).sum(axis=1)))
@@ -51,7 +52,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, at_least: fl
         got = part[ik, jk] + np.einsum("ij,ij->i", p[ik, lead:], q[jk, lead:])
         near = np.flatnonzero(np.abs(got - at_least) < EPS)
         if len(near):
-            u, v = a[ik[near]].astype(np.float64), b[jk[near]].astype(np.float64)
+            u, v = a[ik[near]], b[jk[near]]
             got[near] = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
         out[0].append(ik[got >= at_least])
         out[1].append(jk[got >= at_least])
@@ -79,17 +80,19 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.98) -> DataFrame:
     more. Equal vectors become one with a count first, so copies cost nothing. A histogram of the first principal
     axis deals each label's vectors into tiles of about TILE, in that axis's order, hot bins over many tiles; tiles
     that lie further apart on the axis than linked unit vectors can are never met. Of each pair of tiles there come
-    link counts and one edge per linked vector, not the pairs.
+    link counts and one edge per linked vector, not the pairs. The driver holds one square matrix of axes for each dimension
+    that occurs. Vectors of floats are kept as such, all others as doubles; cosines are doubles either way.
 
     Vectors that are null, empty or zero, hold nulls or non-finite numbers, or have no label or vec_id link with
     nothing. A repeated vec_id gives a row each. Empty tables give no rows; other columns go.
     """
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     usable = own.where(fine).withColumn("dim", F.size("embedding"))
     alike = ["label", "dim", "embedding"]
     one = cut(usable.groupBy(*alike).agg(F.min("vec_id").alias("id"), F.count("*").alias("many")))
-    dims = [r.dim for r in one.select("dim").distinct().limit(100).collect()]
+    dims = [r.dim for r in one.select("dim").distinct().collect()]
     turn = {}
     for d in dims:
         rows = one.where(F.col("dim") == d).orderBy(F.xxhash64("id"), "id").limit(min(FIT_ROWS, 2_000_000 // d + 1)).select("embedding").toArrow()
@@ -104,19 +107,20 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.98) -> DataFrame:
             for d in np.unique(dim):
                 rows = np.flatnonzero(dim == d)
                 v = t.column("embedding").combine_chunks().take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-                axis = turn[int(d)][:, 0] if int(d) in turn else np.eye(int(d))[0]
+                v = v / np.abs(v).max(axis=1, keepdims=True)
+                axis = turn[int(d)][:, 0]
                 x[rows] = (v @ axis) / np.linalg.norm(v, axis=1)
             yield from t.append_column("x", pa.array(x)).to_batches()
 
-    label = dict(own.dtypes)["label"]
-    placed = one.mapInArrow(on_axis, f"label {label}, dim int, embedding array<float>, id long, many long, x double").withColumn("bin", F.floor((F.col("x") + 1) * (BINS / 2)))
+    label, item = dict(own.dtypes)["label"], np.float32 if kind == "float" else np.float64
+    placed = one.mapInArrow(on_axis, f"label {label}, dim int, embedding array<{kind}>, id long, many long, x double").withColumn("bin", F.floor((F.col("x") + 1) * (BINS / 2)))
     bins = placed.groupBy("label", "dim", "bin").agg(F.count("*").alias("n"))
     bins = bins.withColumn("before", F.sum("n").over(Window.partitionBy("label", "dim").orderBy("bin")) - F.col("n"))
     dealt = placed.join(bins, ["label", "dim", "bin"]).withColumn("tile", F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("n"))) / TILE))
 
     def packed(t: pa.Table) -> pa.Table:
         x = t.column("x").to_numpy()
-        v = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        v = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(item)
         return pa.table({"label": t.column("label")[:1], "dim": t.column("dim")[:1], "tile": t.column("tile")[:1], "lo": [x.min()], "hi": [x.max()], "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "many": pa.array([t.column("many").to_numpy().tobytes()], pa.binary()), "data": pa.array([v.tobytes()], pa.binary())})
 
     tiles = cut(dealt.select("label", "dim", "tile", "x", "id", "many", "embedding").groupBy("label", "dim", "tile").applyInArrow(packed, f"label {label}, dim int, tile long, lo double, hi double, ids binary, many binary, data binary"))
@@ -130,8 +134,8 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.98) -> DataFrame:
                 c = [b.column(k)[r] for k in range(8)]
                 d, same = c[0].as_py(), c[1].as_py()
                 ids, many = ([np.frombuffer(c[k].as_buffer(), np.int64) for k in ks] for ks in ((2, 5), (3, 6)))
-                data = [np.frombuffer(c[k].as_buffer(), np.float32).reshape(-1, d) for k in (4, 7)]
-                i, j = close_pairs(*data, turn.get(d, np.eye(d)), at_least, same)
+                data = [np.frombuffer(c[k].as_buffer(), item).reshape(-1, d) for k in (4, 7)]
+                i, j = close_pairs(*data, turn[d], at_least, same)
                 if not len(i):
                     continue
                 n = 0 if same else len(ids[0])

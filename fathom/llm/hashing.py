@@ -1,7 +1,9 @@
 """Whole blocks of texts as numpy arrays: words, lines, and hashes of every window, without a Python loop over them.
 
-A run of items i..j hashes to sum(T[x_k] * B**(k-i)) mod 2**64: differences of one running sum give every window.
-B is odd, so it has an inverse mod 2**64. Two independent (T, B) make 128 bits.
+A run of items i..j hashes to sum(T[x_k] * B**(k-i)): differences of one running sum give every window. Hash 0 counts
+modulo 2**64, where B is odd and so has an inverse: quick, but long runs of two items in the order of Thue and Morse
+collide; hash 2 is another such. Hash 1 counts modulo the prime 2**61 - 1, where none are known to. Filters may use hash
+0 or 2 alone; what decides takes hash 1, with or without another.
 """
 
 from __future__ import annotations
@@ -10,18 +12,44 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1)
-_TABLE = [np.random.default_rng(7 + i).integers(0, 2**64, 256, dtype=np.uint64) for i in (0, 1)]
+P = U(2**61 - 1)
+_BASE = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 % (2**61 - 1), 0xD1B54A32D192ED03 | 1)
+#: Random numbers for bytes; those of hash 1 have 29 bits, so that their products with a power need two multiplications.
+_TABLE = [np.random.default_rng(7 + i).integers(0, 2**29 if i == 1 else 2**64, 256, dtype=np.uint64) for i in (0, 1, 2)]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo P."""
+    x = (x & P) + (x >> U(61))
+    return np.where(x >= P, x - P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo P, for factors below it, by halves of 32 bits: 2**64 is 8 modulo P."""
+    low = U(2**32 - 1)
+    a1, a0, b1, b0 = a >> U(32), a & low, b >> U(32), b & low
+    mid = a1 * b0 + a0 * b1  # below 2**62
+    # mid * 2**32 = (mid >> 29) * 2**61 + (mid & (2**29 - 1)) * 2**32
+    return modulo(modulo(a1 * b1 << U(3)) + modulo(a0 * b0) + modulo((mid >> U(29)) + ((mid & U(2**29 - 1)) << U(32))))
+
+
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**0..n and their inverses; kept, and grown as needed."""
     if which not in _POWERS or len(_POWERS[which][0]) <= n:
         base, size = _BASE[which], max(1 << 16, n + 1 + n // 4)
-        _POWERS[which] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, x, U)])) for x in (base, pow(base, -1, 2**64)))
+        if which == 1:
+            both = []
+            for x in (base, pow(base, -1, int(P))):
+                p = np.ones(1, U)
+                while len(p) < size:  # twice as many each time
+                    p = np.concatenate([p, times(p, np.full(len(p), pow(x, len(p), int(P)), U))])
+                both.append(p[:size])
+            _POWERS[which] = tuple(both)
+        else:
+            _POWERS[which] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, x, U)])) for x in (base, pow(base, -1, 2**64)))
     return _POWERS[which][0][: n + 1], _POWERS[which][1][: n + 1]
 
 
@@ -32,25 +60,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _sums(values: np.ndarray, which: int) -> np.ndarray:
+def _sums(values: np.ndarray, which: int, small: bool = False) -> np.ndarray:
+    """Running sums of values times powers, one more than values. small: values have 29 bits or fewer."""
     out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(which, len(values))[0][:-1], out=out[1:])
+    power = powers(which, len(values))[0][:-1]
+    if which != 1:
+        np.cumsum(values * power, out=out[1:])
+        return out
+    if small:
+        mid = values * (power >> U(32))
+        x = (mid >> U(29)) + ((mid & U(2**29 - 1)) << U(32)) + values * (power & U(2**32 - 1))
+        x = (x & P) + (x >> U(61))
+    else:
+        x = times(values, power)
+    low, high = np.cumsum(x & U(2**31 - 1), dtype=U), modulo(np.cumsum(x >> U(31), dtype=U))  # both stay below 2**64
+    out[1:] = modulo(modulo(low) + (((high << U(31)) & P) | (high >> U(30))))
     return out
 
 
+def _between(s: np.ndarray, i, j, shift: np.ndarray, which: int) -> np.ndarray:
+    """Sums from i to j, as if each began at power 0."""
+    return times(modulo(s[j] + (P - s[i])), shift) if which == 1 else (s[j] - s[i]) * shift
+
+
 def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A hash of every span of bytes."""
-    s = _sums(_TABLE[which][buf], which)
-    return mix((s[end] - s[start]) * powers(which, len(buf))[1][start] ^ (end - start).astype(U) * U(0xA0761D6478BD642F))
+    """A hash of every span of bytes; if they are a part of all bytes, only that part is read."""
+    size = end - start
+    if 2 * int(size.sum()) < len(buf):
+        stop = np.cumsum(size)
+        buf = buf[np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - size), size)]
+        start, end = stop - size, stop
+    s = _sums(_TABLE[which][buf], which, True)
+    return mix(_between(s, start, end, powers(which, len(buf))[1][start], which) ^ size.astype(U) * U(0xA0761D6478BD642F))
 
 
 def windows_hash(items: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """A hash of every window of `size` item hashes; window i starts at item i."""
     if len(items) < size:
         return np.zeros(0, U)
-    s = _sums(items, which)
+    s = _sums(modulo(items) if which == 1 else items, which)
     n = len(items) - size + 1
-    return mix((s[size:] - s[:n]) * powers(which, len(items))[1][:n])
+    return mix(_between(s, slice(0, n), slice(size, None), powers(which, len(items))[1][:n], which))
 
 
 def text_block(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

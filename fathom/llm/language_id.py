@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,40 +12,69 @@ from pyspark.sql import functions as F
 
 from fathom.llm import hashing as H
 
-#: Hashed trigrams in a model, the cost of a switch of language in log units, and languages that are learned at most.
-BUCKETS, SWITCH, LANGS = 1 << 16, 12.0, 200
-#: First bytes of UTF-8 characters by script: Latin, Greek, Cyrillic, Hebrew, Arabic, Indic, kana, Han, Hangul, other.
-SCRIPTS = np.full(256, 9, np.int8)
-for first, last, which in ((0x00, 0x7F, 0), (0xC3, 0xCB, 0), (0xCC, 0xCF, 1), (0xD0, 0xD4, 2), (0xD6, 0xD7, 3), (0xD8, 0xDD, 4), (0xE0, 0xE0, 5), (0xE3, 0xE3, 6), (0xE4, 0xE9, 7), (0xEA, 0xED, 8)):
-    SCRIPTS[first : last + 1] = which
-SCRIPTS[0x80:0xC0] = -1
-N_SCRIPTS = 10
+#: Hashed trigrams in a model, and the cost of a switch of language in log units.
+BUCKETS, SWITCH = 1 << 16, 12.0
+#: Scripts are numbered as they turn up in the order of code points; there is room for so many.
+N_SCRIPTS = 512
 
 
-def _letters(buf: np.ndarray) -> np.ndarray:
-    """Bytes of letters; bytes beyond ASCII count as such."""
-    low = H.LOWER[buf]
-    return (low >= 97) & (low <= 122) | (buf >= 128)
+@lru_cache(1)
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: its script (-1: no letter; 0: a letter or mark of any script) and its lower case.
+
+    Letters and marks are Unicode's categories L and M; the script is the first word of a character's name.
+    """
+    script, low = np.full(0x110000, -1, np.int16), np.arange(0x110000, dtype=np.uint32)
+    known: dict[str, int] = {}
+    for c in range(0x32400):
+        ch = chr(c)
+        kind = unicodedata.category(ch)[0]
+        if kind in "LM":
+            name = unicodedata.name(ch, "OTHER").partition(" ")[0]
+            script[c] = 0 if name in ("COMBINING", "MODIFIER", "VARIATION") else known.setdefault("LATIN" if name in ("FULLWIDTH", "FEMININE", "MASCULINE") else name, len(known) + 1)
+            lower = ch.lower()
+            low[c] = ord(lower) if len(lower) == 1 else c
+    script[0xE0100:0xE01F0] = 0
+    return np.minimum(script, N_SCRIPTS - 1), low
+
+
+def code_points(column) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts and where each begins (one more at the end). Null counts as empty."""
+    buf, at = H.text_block(column)
+    x = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    return x, begins[at]
 
 
 def trigrams(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of letters of all texts: hashed trigrams around every byte, each word's span, text and script."""
-    buf, at = H.text_block(column)
-    word = _letters(buf)
-    n = len(buf)
+    """Words of letters of all texts: hashed trigrams around every character, each word's span, text and script.
+
+    A word is a run of letters and marks; the script of most of its letters is its own (the first in the order of
+    code points, if tied).
+    """
+    x, at = code_points(column)
+    of, low = characters()
+    n, kind = len(x), of[x]
+    word = kind >= 0
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     start = np.flatnonzero(word & (~np.concatenate([[False], word[:-1]]) | edge[:n])) if n else np.zeros(0, np.int64)
     end = np.flatnonzero(word & (~np.concatenate([word[1:], [False]]) | edge[1:])) + 1 if n else start
-    x = np.where(word, H.LOWER[buf], 32).astype(np.uint32)
+    x = np.where(word, low[x], 32).astype(np.uint32)
     before, after = np.full(n, 32, np.uint32), np.full(n, 32, np.uint32)
     before[1:], after[:-1] = x[:-1], x[1:]
     before[start], after[end - 1] = 32, 32
-    t = (before << 16 | x << 8 | after) * np.uint32(2654435761) >> np.uint32(16)
-    script = SCRIPTS[buf[start]] if n else start.astype(np.int8)
-    plain = np.flatnonzero(script == 0)
-    # a word that begins with ASCII may go on in another script; its most common first byte beyond ASCII decides
-    return t.astype(np.int64), start, end, np.searchsorted(at, start, "right") - 1, np.where(script < 0, 9, script) if len(plain) < len(script) else np.maximum(script, 0)
+    t = ((before * np.uint32(0x9E3779B1) + x) * np.uint32(0x85EBCA6B) + after) * np.uint32(0xC2B2AE35) >> np.uint32(16)
+    script = np.zeros(len(start), np.int64)
+    if len(start):
+        inside = np.flatnonzero(word)
+        first = np.cumsum(end - start) - (end - start)
+        script = np.maximum.reduceat(kind[inside], first).astype(np.int64)
+        least = np.minimum.reduceat(np.where(kind[inside] > 0, kind[inside], N_SCRIPTS), first)
+        mixed = np.flatnonzero((least < script) & (script > 0))
+        for w in mixed.tolist():
+            script[w] = np.bincount(kind[start[w] : end[w]], minlength=2)[1:].argmax() + 1
+    return t.astype(np.int64), start, end, np.searchsorted(at, start, "right") - 1, script
 
 
 def _train_part(doc_id):
@@ -50,7 +82,7 @@ def _train_part(doc_id):
 
 
 class Model:
-    """Log probabilities of trigrams by language and which languages use which script. A few MB at most."""
+    """Log probabilities of trigrams by language and which languages use which script: 256 KB for each language."""
 
     def __init__(self, names: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.names = names
@@ -111,7 +143,10 @@ def viterbi(e: np.ndarray, lens: np.ndarray, switch: float) -> np.ndarray:
 
 
 def learn(docs: DataFrame) -> Model:
-    """Counts over all texts with a lang whose crc32(doc_id as text) mod 4 isn't 2; only sums by language leave."""
+    """Counts over all texts with a lang whose crc32(doc_id as text) mod 4 isn't 2; only sums by language leave.
+
+    Every language is learned. Tasks send counts that aren't zero; one array for each language reaches the driver.
+    """
 
     def count(batches):
         for whole in batches:
@@ -124,24 +159,27 @@ def learn(docs: DataFrame) -> Model:
                 np.add.at(mark, start, 1)
                 np.add.at(mark, end, -1)
                 hits = t[np.cumsum(mark[:-1]) > 0]
-                c = np.bincount(inside * BUCKETS + hits, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                s = np.bincount(lang * N_SCRIPTS + script, end - start, len(names) * N_SCRIPTS).reshape(-1, N_SCRIPTS).astype(np.int64)
-                whole_c = np.concatenate([c, s], axis=1)
-                i, j = np.nonzero(whole_c)
-                yield pa.record_batch({"lang": pa.array(names[i], pa.string()), "k": pa.array(j, pa.int64()), "n": pa.array(whole_c[i, j], pa.int64())})
+                for k, size, cell, weight in ((0, BUCKETS, inside * BUCKETS + hits, None), (BUCKETS, N_SCRIPTS, lang * N_SCRIPTS + script, end - start)):
+                    at, back = np.unique(cell, return_inverse=True)
+                    n = np.bincount(back, weight, len(at)).astype(np.int64)
+                    yield pa.record_batch({"lang": pa.array(names[at // size], pa.string()), "k": pa.array(at % size + k, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    def packed(t: pa.Table) -> pa.Table:
+        c = np.zeros(BUCKETS + N_SCRIPTS, np.float32)
+        c[t.column("k").to_numpy()] = t.column("n").to_numpy()
+        return pa.table({"lang": t.column("lang")[:1], "c": pa.array([c.tobytes()], pa.binary())})
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & _train_part(F.col("doc_id")))
-    sums = known.select("lang", "text").mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    rows = sums.groupBy("lang").agg(F.collect_list("k").alias("k"), F.collect_list("n").alias("n"), F.sum("n").alias("s")).orderBy(F.desc("s"), "lang").limit(LANGS).drop("s").toArrow()
-    rows = sorted(rows.to_pylist(), key=lambda r: r["lang"])
-    c = np.zeros((len(rows), BUCKETS + N_SCRIPTS))
-    for i, r in enumerate(rows):
-        c[i, r["k"]] = r["n"]
-    return Model([r["lang"] for r in rows], c[:, :BUCKETS], c[:, BUCKETS:])
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sums = known.mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    got = sums.groupBy("lang").applyInArrow(packed, "lang string, c binary").toArrow()
+    order = np.argsort(np.array(got.column("lang").to_pylist(), object), kind="stable")
+    c = np.array([np.frombuffer(got.column("c")[int(i)].as_buffer(), np.float32) for i in order]).reshape(-1, BUCKETS + N_SCRIPTS)
+    return Model([got.column("lang")[int(i)].as_py() for i in order], c[:, :BUCKETS], c[:, BUCKETS:])
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """One row per document: lang_pred, score, and with `spans` lang:start:end by bytes of each stretch of words.
+    """One row per document: lang_pred, score, and with `spans` lang:start:end by code points of each stretch of words.
 
     lang_pred is the language with most letters on the best path, score its share of them. `und` with score 0 if the
     text is null or has no letters, or no language was learned.
@@ -154,13 +192,9 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 start, end, doc, lang = model.label(column)
                 got = np.bincount(doc * max(k, 1) + lang, end - start, n * max(k, 1)).reshape(n, -1)
                 total, top = got.sum(axis=1), got.argmax(axis=1)
-                buf, at = H.text_block(column)
-                low = H.LOWER[buf]
-                ascii_seen = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
-                some = ascii_seen[at[1:]] > ascii_seen[at[:-1]]
-                for i in np.flatnonzero(~some & (total > 0)).tolist():
-                    some[i] = any(ch.isalpha() for ch in column[i].as_py())
-                some &= (total > 0) & (k > 0)
+                x, at = code_points(column)
+                letters = np.concatenate([[0], np.cumsum(characters()[0][x] > 0)])
+                some = (letters[at[1:]] > letters[at[:-1]]) & (total > 0) & (k > 0)
                 pred = [model.names[j] if ok else "und" for j, ok in zip(top.tolist(), some.tolist(), strict=True)]
                 score = np.where(some, got.max(axis=1) / np.maximum(total, 1), 0.0)
                 cols = {"doc_id": b.column(0), "held_out": b.column(2), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)}
@@ -183,8 +217,8 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 def language_id(docs: DataFrame, spans: bool = False) -> DataFrame:
     """Learns from the training part of `docs` (see `learn`) and labels every row (see `identify`).
 
-    Words are runs of letters; a word scores the log probabilities of its byte trigrams, for the languages that use
-    its script (1 % of their letters or more). A path pays SWITCH for each change of language. Words of scripts that no
+    Words are runs of letters; a word scores the log probabilities of its trigrams of characters, for the languages that
+    use its script (1 % of their letters or more). A path pays SWITCH for each change of language. Words of scripts that no
     language uses may be of any. Null and repeated rows get results like others; empty tables give no rows.
     """
     return identify(docs, learn(docs), spans)

@@ -29,15 +29,15 @@ def shingle_sets(column, size: int) -> tuple[np.ndarray, np.ndarray]:
     buf, at = H.text_block(column)
     buf = H.LOWER[buf]
     start, end, doc = H.words_of(buf, at)
-    words = H.spans_hash(buf, start, end)
+    words = H.spans_hash(buf, start, end, 1)
     edge = np.searchsorted(doc, np.arange(len(at)))
     n = max(0, len(words) - size + 1)
     own = np.flatnonzero(doc[:n] == doc[size - 1 :][:n]) if n else np.zeros(0, np.int64)
-    keys, of = H.windows_hash(words, size)[own], doc[own]
+    keys, of = H.windows_hash(words, size, 1)[own], doc[own]
     for few in range(1, size):  # texts with fewer words are one shingle
         at_few = edge[:-1][np.diff(edge) == few]
         if len(at_few):
-            keys, of = np.concatenate([keys, H.mix(H.windows_hash(words, few)[at_few] + np.uint64(few))]), np.concatenate([of, doc[at_few]])
+            keys, of = np.concatenate([keys, H.mix(H.windows_hash(words, few, 1)[at_few] + np.uint64(few))]), np.concatenate([of, doc[at_few]])
     order = np.lexsort((keys, of))
     keys, of = keys[order], of[order]
     new = np.ones(len(keys), bool)
@@ -112,7 +112,7 @@ def postings(reps: DataFrame, count: int) -> DataFrame:
         if not t.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("value", "id", "n")})
         t, lens, keys, one, group, _ = values(t)
-        total = np.concatenate([np.frombuffer(a, np.int32) for _, a in X.answers(said)[1]])[group]
+        total = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(a, np.int32) for _, a in X.answers(said)[1])])[group]
         who = np.repeat(np.arange(len(lens)), lens)
         order = np.lexsort((keys, total, who))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(lens) - lens, lens)

@@ -52,7 +52,7 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     parts = d.groupBy("key", "part").agg(F.sum("size").alias("n"))
     sums = parts.groupBy("key").agg(F.sum("n").alias("source_size"))
     parts = parts.withColumn("ahead", F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n"))
-    goal, p = F.broadcast(targets(sums)).alias("g"), parts.alias("p")
+    goal, p = targets(sums).alias("g"), parts.alias("p")
     p = p.join(goal, F.col("p.key").eqNullSafe(F.col("g.key"))).select("p.key", "p.part", "p.ahead", "g.source_size", "g.target")
     p, q = p.alias("p"), d.alias("q")
     both = q.join(p, F.col("q.key").eqNullSafe(F.col("p.key")) & (F.col("q.part") == F.col("p.part"))).select("q.*", "p.ahead", "p.source_size", "p.target")

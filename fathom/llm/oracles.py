@@ -51,3 +51,16 @@ link as (select p.doc_id as a, q.doc_id as b from x p join x q on p.t = q.t and
 {_COMPONENTS}
 select doc_id, len(s)::bigint as n_shingles, coalesce(c, doc_id)::bigint as component_id, coalesce(c, doc_id) = doc_id as kept from s left join comp on comp.id = s.doc_id
 """
+
+#: Windows of 50 bytes; late ones that touch or overlap make a run.
+SUFFIXES = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as h from documents),
+k as (select doc_id, i, array_slice(h, i, i + 49) as s from (select doc_id, unnest(range(1, octet_length(h) - 48)) as i, h from d)),
+f as (select s, min(doc_id) as least from k group by s having min(doc_id) < max(doc_id)),
+late as (select doc_id, i, i > coalesce(lag(i) over w, -99) + 50 as new from k join f using (s) where doc_id > least window w as (partition by doc_id order by i)),
+island as (select doc_id, min(i) as a, max(i) + 49 as b from (select doc_id, i, sum(new::int) over (partition by doc_id order by i) as g from late) group by doc_id, g),
+part as (select doc_id, h, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from island join d using (doc_id)),
+n as (select doc_id, sum(b - a + 1) as n, count(*) as runs, string_agg(case when a > before + 1 then hex(array_slice(h, before + 1, a - 1)) else '' end, '' order by a)
+  || case when max(b) < octet_length(any_value(h)) then hex(array_slice(any_value(h), max(b) + 1, octet_length(any_value(h)))) else '' end as kept from part group by doc_id)
+select doc_id, octet_length(h)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(runs, 0)::bigint as n_spans, sha256(case when kept is null then h else unhex(kept) end) as kept_sha256 from d left join n using (doc_id)
+"""

@@ -40,6 +40,7 @@ def counts(column) -> np.ndarray:
     other = (buf > 32) & (buf < 128) & ~upper & ~digit & ~((buf >= 97) & (buf <= 122))
     shapes = [np.bincount(of[order][new], minlength=n) / many, np.bincount(of[same], minlength=n) / many, share(upper), share(digit), share(other), share(buf == 10) * 10, np.minimum(1, np.log1p(many) / 10), np.minimum(1, size / many / 20)]
     out[:, TERMS:] = np.stack(shapes, axis=1) * 0.5
+    out[size == 0] = 0  # whatever stands beside them
     return out
 
 
@@ -92,13 +93,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Space
     picked = [one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     picked = picked[0].union(picked[1])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("t"), F.first("quality").alias("quality")).select("doc_id", "t.text", "quality")
 
     def vectors(batches):
         for whole in batches:
             for b in H.slices(whole):
                 yield pa.record_batch({"doc_id": b.column(0), "quality": b.column(2), "v": pa.array([r.tobytes() for r in counts(b.column(1))], pa.binary())})
 
-    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(vectors, "doc_id long, quality int, v binary").dropDuplicates(["doc_id"]).toArrow()
+    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(vectors, "doc_id long, quality int, v binary").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy())
     x = np.array([np.frombuffer(v, np.float32) for v in got.column("v").to_pylist()]).reshape(-1, TERMS + SHAPES)[order]
     return Space(x, got.column("quality").to_numpy()[order])

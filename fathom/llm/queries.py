@@ -38,7 +38,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(table(spark, sf_dir, "documents"))
+    return language_id(table(spark, sf_dir, "documents"), spans=True)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": oracles.LINES,
     "op2_decontamination": decontamination.ORACLE,
+    "op3_suffix_dedup": oracles.SUFFIXES,
     "op4_embedding_dedup": oracles.VECTORS,
     "op7_substring_dedup": oracles.SUBSTRINGS,
     "op8_source_mixing": mixing.ORACLE,

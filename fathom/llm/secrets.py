@@ -19,7 +19,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 NAMED = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", re.I | re.A)
 HOST = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]{4,}(?::[0-9]+)?)""", re.I | re.A)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{20,}={0,2}", re.A)
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{20,}={0,2}", re.A)
 HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"akia", b"access", b"client", b"user", b"login", b"://", b"host", b"endpoint", b"server")
 #: Characters between parts of one credential, in one scope; a blank line ends a scope.
 REACH = 400
@@ -34,9 +34,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def overlapping(parts: list[tuple[int, int]]):
+    """A test of spans: does one of the parts overlap it?"""
+    parts = sorted(parts)
+    starts, most = [p[0] for p in parts], []
+    for _, e in parts:
+        most.append(max(e, most[-1] if most else e))
+
+    def test(s: int, e: int) -> bool:
+        i = bisect_left(starts, e)
+        return i > 0 and most[i - 1] > s
+
+    return test
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Weak parts that complete a credential: an identifier and a secret within reach of each other in one scope.
 
+    Parts that meet are disjoint, so no string completes itself, and an opaque string inside another part is that part.
+
     Identifiers: AKIA keys (weak if short) and named ids. Secrets: assigned values (weak if short), long hex, and weak
     opaque strings of 20 or more letters and digits of all three sorts. An endpoint counts if both others are in reach.
     """
@@ -46,24 +62,23 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         return []
     secrets = [(s, e) for s, k, e in base if k in (0, 2)]
     weak = [m.span() for m in ASSIGN.finditer(text) if 4 <= len(m[2]) < 12]
-    weak += [m.span() for m in OPAQUE.finditer(text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and not m[0].startswith("AKIA")]
+    taken = overlapping([(s, e) for s, _, e in base] + weak_ids + weak)
+    weak += [m.span() for m in OPAQUE.finditer(text) if not taken(*m.span()) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and not m[0].startswith("AKIA")]
     if not secrets and not weak:
         return []
     breaks = [m.start() for m in re.finditer(r"\n[\x20\t]*\n", text)]
     scope = lambda s: bisect_left(breaks, s)
 
     def meets(parts: list[tuple[int, int]]):
-        """Whether a span has one of the parts in reach; parts of one sort are sorted, so the nearest two suffice."""
-        parts = sorted(parts)
-        starts = [p[0] for p in parts]
-        furthest = []
-        for _, e in parts:
-            furthest.append(max(e, furthest[-1] if furthest else e))
+        """Whether a span has one of the parts in reach; the nearest one on each side that doesn't overlap it decides."""
+        starts, ends = sorted(p[0] for p in parts), sorted((p[1], p[0]) for p in parts)
 
         def near(s: int, e: int) -> bool:
-            i = bisect_left(starts, s)
-            after = i < len(parts) and parts[i][0] - e <= REACH and scope(parts[i][0]) == scope(s)
-            return after or (i > 0 and s - furthest[i - 1] <= REACH and scope(starts[i - 1]) == scope(s))
+            i = bisect_left(starts, e)
+            if i < len(starts) and starts[i] - e <= REACH and scope(starts[i]) == scope(s):
+                return True
+            j = bisect_left(ends, (s + 1,)) - 1
+            return j >= 0 and s - ends[j][0] <= REACH and scope(ends[j][1]) == scope(s)
 
         return near
 

@@ -140,7 +140,7 @@ class Block:
         whose = np.searchsorted(self.at, self.place, "right") - 1
         left = np.flatnonzero(self.place - side >= self.at[whose]) if len(whose) else whose
         right = np.flatnonzero(self.place + gram + side <= self.at[whose + 1]) if len(whose) else whose
-        wide = H.windows_hash(H._TABLE[1][self.buf], gram + side, 1)
+        wide = H.windows_hash(H._TABLE[2][self.buf], gram + side, 2)
         self.of = np.concatenate([left, right])
         self.keys = wide[np.concatenate([self.place[left] - side, self.place[right]])] if len(wide) else np.zeros(0, np.uint64)
         self.doc = self.ids[whose[self.of]]
@@ -183,8 +183,7 @@ class Block:
         back = np.empty(len(by), np.int64)
         back[by] = np.arange(len(by))
         self.rep, self.rep_of, self.rep_to = rep[by], back[of], to[rep[by]]
-        none = np.zeros(0, np.uint64)
-        self.hot_keys = [H.windows_hash(H._TABLE[w][self.buf], self.length, w)[self.hot] if len(self.hot) else none for w in (0, 1)]
+        self.hot_keys = [H.spans_hash(self.buf, self.hot, self.hot + self.length, w) for w in (0, 1)]
         self.hot_one, self.hot_group = X.distinct(*self.hot_keys)
 
 
