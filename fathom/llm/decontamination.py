@@ -30,17 +30,41 @@ def _countable(w: DataFrame) -> DataFrame:
     return w.where(F.size(F.filter("tpl", lambda x: ~x.startswith("<"))) >= 2)
 
 
-def windows(texts: DataFrame, key: str, size: int, slots: bool, cased: bool = True) -> DataFrame:
-    """(key, h) for every window of `size` template tokens, with its row and position and the raw tokens if asked."""
+def _held(df: DataFrame, *keep: str, **made) -> DataFrame:
+    """df's columns `keep` with columns made once a row, behind a generator, so that no use makes them again."""
+    return df.select(*keep, *[F.explode(F.array(c)).alias(n) for n, c in made.items()])
+
+
+def _hashes(tokens: str, size: int):
+    """For each token hash: a hash of it and the next ones of its window, null where the text ends before."""
+    near = lambda i: [F.get(F.col(tokens), i + k) for k in range(1, size)]
+    return F.transform(tokens, lambda x, i: F.when(i <= F.size(tokens) - size, F.xxhash64(x, *near(i))))
+
+
+def windows(texts: DataFrame, key: str, size: int, cased: bool = True) -> DataFrame:
+    """(key, row, at, h, tpl, raw) for every window of `size` template tokens: its text, position, hash and tokens."""
     t = texts.select(F.col(key), F.xxhash64("text").alias("row"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw")).where(F.size("raw") >= size)
-    t = t.withColumn("tpl", F.transform("raw", lambda x: _template(x, cased)))
-    near = lambda a, i: [F.get(F.col(a), i + k) for k in range(size)]
-    if not slots:
-        h = F.transform("tpl", lambda x, i: F.when(i <= F.size("tpl") - size, F.xxhash64(x, *near("tpl", i)[1:])))
-        return t.select(key, F.explode(h).alias("h")).where("h is not null")
-    part = lambda x, i: F.struct(F.xxhash64(x, *near("tpl", i)[1:]).alias("h"), F.array(*near("tpl", i)).alias("tpl"), F.array(*near("raw", i)).alias("raw"))
-    t = t.select(key, "row", F.posexplode(F.slice(F.transform("tpl", part), F.lit(1), F.size("tpl") - (size - 1))).alias("at", "w"))
-    return t.select(key, "row", "at", "w.h", "w.tpl", "w.raw")
+    t = _held(t, key, "row", raw=F.col("raw"))
+    t = _held(t, key, "row", "raw", tpl=F.transform("raw", lambda x: _template(x, cased)))
+    t = _held(t, key, "row", "raw", "tpl", th=F.transform("tpl", lambda x: F.xxhash64(x)))
+    t = t.select(key, "row", "raw", "tpl", F.posexplode(_hashes("th", size)).alias("at", "h")).where("h is not null")
+    return t.select(key, "row", "at", "h", F.slice("tpl", F.col("at") + 1, size).alias("tpl"), F.slice("raw", F.col("at") + 1, size).alias("raw"))
+
+
+def found_windows(docs: DataFrame, known: DataFrame, size: int, few: bool) -> DataFrame:
+    """(doc_id, cased, h), each once, for the windows in `known` (cased, h), of both templates, in one pass over the texts.
+
+    The templates differ in capitalised words only, so the second is made from the hashes of the first.
+    """
+    name, number, unit = (F.xxhash64(F.lit(x)) for x in ("<NAME>", "<NUM>", "<UNIT>"))
+    t = docs.select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw")).where(F.size("raw") >= size)
+    t = _held(t, "doc_id", raw=F.col("raw"))
+    t = _held(t, "doc_id", "raw", u=F.transform("raw", lambda x: F.xxhash64(_template(x, False))))
+    plain = lambda x, h: h.isin(number, unit) | (F.substring(x, 1, 1) == F.lower(F.substring(x, 1, 1)))
+    t = _held(t, "doc_id", "u", c=F.transform("raw", lambda x, i: F.when(plain(x, F.get("u", i)), F.get("u", i)).otherwise(name)))
+    both = F.array(*[F.struct(F.lit(cased).alias("cased"), _hashes(x, size).alias("w")) for cased, x in ((False, "u"), (True, "c"))])
+    t = t.select("doc_id", F.explode(both).alias("k")).select("doc_id", "k.cased", F.explode("k.w").alias("h")).where("h is not null")
+    return t.join(F.broadcast(known) if few else known, ["cased", "h"]).groupBy("doc_id", "cased", "h").agg(F.lit(1).alias("one")).select("doc_id", "cased", "h")
 
 
 def _consistent(pairs: DataFrame, by: list[str], share: float) -> DataFrame:
@@ -72,24 +96,31 @@ def _occurrences(pairs: DataFrame, own: DataFrame, share: float) -> DataFrame:
     return _consistent(tried.join(full, one), one, share).select("doc_id", "item_id").distinct()
 
 
-def _found(docs: DataFrame, items: DataFrame, size: int, share: float, cased: bool) -> DataFrame:
-    """`leaks` by templates with names (cased) or without."""
-    own = windows(items, "item_id", size, True, cased)
-    own = cut(_countable(own))
-    known = own.select("item_id", "h").distinct()
+def _found(docs: DataFrame, items: DataFrame, size: int, share: float) -> DataFrame:
+    """`leaks` by templates with names (cased) and without."""
+    own = {cased: cut(_countable(windows(items, "item_id", size, cased))) for cased in (True, False)}
+    known = {cased: own[cased].select("item_id", "h").distinct() for cased in own}
+    every = known[True].select(F.lit(True).alias("cased"), "h").union(known[False].select(F.lit(False).alias("cased"), "h")).distinct()
+    small = every.count() <= BROADCAST_ROWS
+    hit = cut(found_windows(docs, every, size, small))
+    return _judged(docs, own[True], known[True], hit.where("cased"), size, share, True, small).union(_judged(docs, own[False], known[False], hit.where("not cased"), size, share, False, small))
+
+
+def _judged(docs: DataFrame, own: DataFrame, known: DataFrame, hit: DataFrame, size: int, share: float, cased: bool, small: bool) -> DataFrame:
+    """The items of which a document has enough windows (hit), with consistent slots."""
     need = known.groupBy("item_id").agg(F.count("*").alias("need"))
-    small = known.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda df: df
-    hashes = windows(docs, "doc_id", size, False, cased).join(hint(known.select("h").distinct()), "h").groupBy("doc_id", "h").agg(F.lit(1).alias("one"))
-    some = hashes.join(hint(known), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).join(hint(need), "item_id")
+    some = hit.select("doc_id", "h").join(hint(known), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).join(hint(need), "item_id")
     some = cut(some.where(F.col("n") >= share * F.col("need")).select("doc_id", "item_id", (F.col("n") / F.col("need")).alias("share")))
     ids = some.select("doc_id").distinct()
     few = ids.count() <= BROADCAST_ROWS
     again = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    mine = windows(again, "doc_id", size, True, cased).select("doc_id", F.col("row").alias("doc_row"), F.col("at").alias("doc_at"), "h", "tpl", F.col("raw").alias("given"))
+    mine = windows(again, "doc_id", size, cased).join(hint(known.select("h").distinct()), "h", "left_semi")
+    mine = mine.select("doc_id", F.col("row").alias("doc_row"), F.col("at").alias("doc_at"), "h", "tpl", F.col("raw").alias("given"))
     asked = own.select("item_id", F.col("row").alias("item_row"), F.col("at").alias("item_at"), "h", F.col("raw").alias("asked"))
+    # a window meets the items that its document may hold, not all that share it
     both = ["doc_id", "item_id"]
-    pairs = cut(mine.join(hint(asked), "h").join(F.broadcast(some) if few else some, both).drop("share"))
+    pairs = cut(mine.join(some.drop("share"), "doc_id").join(hint(asked), ["item_id", "h"]))
     pooled = cut(_consistent(pairs, both, share))
     single = _occurrences(pairs.join(pooled, both, "left_anti"), own, share)
     return some.join(pooled.union(single), both, "left_semi").select(*both, "share")
@@ -108,7 +139,7 @@ def _exact(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     greatest power of two in them, and are then compared whole. The driver sees the distinct powers.
     """
     fine = lambda df, key: df.select(key, F.transform(F.regexp_extract_all("text", F.lit(FINE), F.lit(0)), F.lower).alias("f")).where(F.size("f") > 0)
-    have = _countable(windows(items, "item_id", size, True, True)).select("item_id").union(_countable(windows(items, "item_id", size, True, False)).select("item_id")).distinct()
+    have = _countable(windows(items, "item_id", size, True)).select("item_id").union(_countable(windows(items, "item_id", size, False)).select("item_id")).distinct()
     rare = fine(items.join(have, "item_id", "left_anti").union(items.where(F.col("text").rlike(f"[{SPACELESS}]"))), "item_id").distinct()
     rare = cut(rare.withColumn("k", F.expr("cast(1 as int) << cast(floor(log2(size(f))) as int)")).select("item_id", "k", _head_hash(F.col("k"))(1).alias("h"), F.array_join("f", " ").alias("asked")))
     sizes = [r.k for r in rare.select("k").distinct().collect()]
@@ -147,7 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    both = _found(docs, items, size, share, True).union(_found(docs, items, size, share, False))
+    both = _found(docs, items, size, share)
     whole = _exact(docs, items, size)
     both = both if whole is None else both.union(whole)
     return both.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
