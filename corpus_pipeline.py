@@ -42,8 +42,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: for each document its source's target and the words of it that the mix takes, repeats counted."""
-    return mix_sources(docs)
+    """The mix: for each document its text, its source's target and the words of it that the mix takes, repeats counted."""
+    return mix_sources(docs, keep=DOCUMENTS[1:])
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("minhash_near_dedup", near), ("decontamination", decontaminated), ("source_mixing", mixed)]
