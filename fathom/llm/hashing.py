@@ -67,14 +67,16 @@ def _sums(values: np.ndarray, which: int, small: bool = False) -> np.ndarray:
     if which != 1:
         np.cumsum(values * power, out=out[1:])
         return out
-    if small:
-        mid = values * (power >> U(32))
-        x = (mid >> U(29)) + ((mid & U(2**29 - 1)) << U(32)) + values * (power & U(2**32 - 1))
-        x = (x & P) + (x >> U(61))
-    else:
-        x = times(values, power)
-    low, high = np.cumsum(x & U(2**31 - 1), dtype=U), modulo(np.cumsum(x >> U(31), dtype=U))  # both stay below 2**64
-    out[1:] = modulo(modulo(low) + (((high << U(31)) & P) | (high >> U(30))))
+    for i in range(0, len(values), 1 << 17):  # a part at a time, so that what is made on the way stays small
+        v, p = values[i : i + (1 << 17)], power[i : i + (1 << 17)]
+        if small:
+            mid = v * (p >> U(32))
+            x = (mid >> U(29)) + ((mid & U(2**29 - 1)) << U(32)) + v * (p & U(2**32 - 1))
+            x = (x & P) + (x >> U(61))
+        else:
+            x = times(v, p)
+        low, high = np.cumsum(x & U(2**31 - 1), dtype=U), modulo(np.cumsum(x >> U(31), dtype=U))  # both stay below 2**64
+        out[i + 1 : i + 1 + len(v)] = modulo(modulo(modulo(low) + (((high << U(31)) & P) | (high >> U(30)))) + out[i])
     return out
 
 
