@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathom.operators.intervals import edits
+from fathom.plans.spread import spread
 
 
 def held(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
@@ -22,7 +23,7 @@ def postings(df: DataFrame, id_field: str, tokens: Column, keep: str | None = No
 
     `keep` is a whole-term regex; size counts all tokens.
     """
-    t = held(df.select(F.col(id_field).alias("id"), tokens.alias("raw")), "id", t=F.col("raw"))
+    t = held(spread(df, id_field).select(F.col(id_field).alias("id"), tokens.alias("raw")), "id", t=F.col("raw"))
     t = t.select("id", F.size("t").alias("size"), F.explode("t").alias("term")).where("term is not null")
     t = t.where(F.col("term").rlike(f"^(?:{keep})$")) if keep else t
     return t.groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
@@ -34,7 +35,7 @@ def term_list(df: DataFrame, tokens: Column, start: str | None = None, end: str
     Each document's tokens are sorted in its own row, and a token unlike the one before it counts the document. Tokens
     out of range leave first, and what is shuffled are counts combined by task.
     """
-    t = held(df.select(tokens.alias("raw")), t=F.sort_array("raw"))
+    t = held(spread(df).select(tokens.alias("raw")), t=F.sort_array("raw"))
     one = t.select(F.posexplode("t").alias("at", "term"), "t")
     one = one.where(F.col("term").isNotNull())
     if start is not None:

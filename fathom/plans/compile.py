@@ -19,6 +19,7 @@ from fathom.config import NUMBERS, FieldConfig, IndexConfig, QueryError
 from fathom.functions import analysis, dates, geo
 from fathom.operators import intervals
 from fathom.plans import lang
+from fathom.plans.spread import spread
 
 _YES, _NO = {"true", "t", "yes", "y", "1"}, {"false", "f", "no", "n", "0"}
 _LIMITS = {"INT": 2**31 - 1, "LONG": 2**63 - 1}
@@ -105,7 +106,8 @@ class Compiler:
         text is split once, and only if it passes the tests of stored columns, which sink below.
         """
         made = [n for n in sorted(self.made) if f"_tok_{n}" not in df.columns]
-        df = df.where(need) if need is not None and made else df
+        if made:
+            df = spread(df.where(need) if need is not None else df, self.config.id_field)
         for n in made:
             f, analyzer = self.search_field(n)
             tokens = self.token_expr(f, analyzer)
