@@ -9,12 +9,14 @@ import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fathom.config import IndexConfig, QueryError
+from fathom.functions.english import english_stem
 
 STOP = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 BRITISH = {"colour": "color", "colours": "colors", "favour": "favor", "favourite": "favorite", "honour": "honor", "labour": "labor", "neighbour": "neighbor", "tumour": "tumor", "tumours": "tumors", "behaviour": "behavior", "centre": "center", "centres": "centers", "theatre": "theater", "metre": "meter", "litre": "liter", "fibre": "fiber", "analyse": "analyze", "analysed": "analyzed", "organise": "organize", "organisation": "organization", "realise": "realize", "recognise": "recognize", "catalogue": "catalog", "dialogue": "dialog", "defence": "defense", "licence": "license", "grey": "gray", "programme": "program", "travelled": "traveled", "travelling": "traveling", "anaemia": "anemia", "haemoglobin": "hemoglobin", "oestrogen": "estrogen", "paediatric": "pediatric", "leukaemia": "leukemia"}
@@ -73,16 +75,6 @@ def _min_stem(x: Column) -> Column:
 _VOWEL = re.compile(r"[aeiouy]")
 
 
-def _measure(stem: str) -> int:
-    shape = re.sub(r"[^v]+", "c", "".join("v" if c in "aeiou" or (c == "y" and i and stem[i - 1] not in "aeiou") else "c" for i, c in enumerate(stem)))
-    return re.sub(r"v+", "v", shape).count("vc")
-
-
-_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
-
-
 def inflect_stem(w: str) -> str:
     """Plurals, past and progressive forms; derivations stay."""
     if len(w) <= 3 or not w.isalpha():
@@ -99,48 +91,6 @@ def inflect_stem(w: str) -> str:
     return w
 
 
-def suffix_stem(w: str) -> str:
-    """The suffix stripping algorithm of Porter (1980)."""
-    if len(w) <= 2 or not w.isalpha():
-        return w
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and _VOWEL.search(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "lsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and re.search(r"[^aeiou][aeiouy][^aeiouwxy]$", w):
-                    w += "e"
-                break
-    if w.endswith("y") and _VOWEL.search(w[:-1]):
-        w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for end, to in table:
-            if w.endswith(end):
-                w = w[: -len(end)] + to if _measure(w[: -len(end)]) > 0 else w
-                break
-    for end in sorted(_STEP4, key=len, reverse=True):
-        if w.endswith(end):
-            w = w[: -len(end)] if _measure(w[: -len(end)]) > 1 else w
-            break
-    else:
-        if w.endswith("ion") and w[-4:-3] in ("s", "t") and _measure(w[:-3]) > 1:
-            w = w[:-3]
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not re.search(r"[^aeiou][aeiouy][^aeiouwxy]$", w[:-1]))):
-        w = w[:-1]
-    if w.endswith("ll") and _measure(w[:-1]) > 1:
-        w = w[:-1]
-    return w
-
-
 def _each(native: Callable[[Column], Column], python: Callable[[str], str]):
     return (lambda a: F.transform(a, native)), (lambda ts: [python(t) for t in ts])
 
@@ -168,6 +118,21 @@ def _british_column(x: Column) -> Column:
     return F.coalesce(F.try_element_at(table, x), x)
 
 
+def _stop(words: tuple[str, ...]):
+    return (lambda a: F.transform(a, lambda x: F.when(~x.isin(*words), x))), (lambda ts: [None if t in words else t for t in ts])
+
+
+#: A step `stop_file:<path>` takes the stop words from a file, one a line, in place of the built-in ones.
+STOP_FILE = "stop_file:"
+
+
+def filter_of(step: str) -> tuple[Callable, Callable]:
+    if not step.startswith(STOP_FILE):
+        return FILTERS[step]
+    words = {w.strip() for w in Path(step.removeprefix(STOP_FILE)).read_text("utf-8").splitlines()}
+    return _stop(tuple(sorted(words - {""})) or ("",))
+
+
 _POSSESSIVE = "['’][sS]$"
 PYTHON_STEPS = ("kstem", "snowball")
 
@@ -182,11 +147,11 @@ FILTERS: dict[str, tuple[Callable, Callable]] = {
     "lower": _each(F.lower, str.lower),
     "upper": _each(F.upper, str.upper),
     "ascii": _each(fold, fold_text),
-    "stop": ((lambda a: F.transform(a, lambda x: F.when(~x.isin(*STOP), x))), (lambda ts: [None if t in STOP else t for t in ts])),
+    "stop": _stop(STOP),
     "possessive": _each(lambda x: F.regexp_replace(x, _POSSESSIVE, ""), lambda t: re.sub(_POSSESSIVE, "", t)),
     "min_stem": _each(_min_stem, min_stem),
     "kstem": (None, lambda ts: [_known(inflect_stem, t) for t in ts]),
-    "snowball": (None, lambda ts: [_known(suffix_stem, t) for t in ts]),
+    "snowball": (None, lambda ts: [_known(english_stem, t) for t in ts]),
     "british_us": _each(_british_column, lambda t: BRITISH.get(t, t)),
     "concat_all": _each(lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", ""), lambda t: re.sub(r"[\W_]", "", t)),
     "german": _each(_german_column, _german),
@@ -195,7 +160,7 @@ FILTERS: dict[str, tuple[Callable, Callable]] = {
 
 
 def _protected(step: str):
-    native, python = FILTERS[step]
+    native, python = filter_of(step)
     native = native or (lambda a: a)
     return (lambda a: F.transform(F.arrays_zip(a.alias("x"), native(a).alias("y")), lambda z: F.when(z["x"] == "AIDS", z["x"]).otherwise(z["y"]))), (lambda ts: [t if t == "AIDS" else u for t, u in zip(ts, python(ts), strict=True)])
 
@@ -246,7 +211,7 @@ def tokens(c: Column, name: str, config: IndexConfig | None = None) -> Column:
         elif s == "case_protect":
             protect = True
         else:
-            c = (_protected(s) if protect else FILTERS[s])[0](c)
+            c = (_protected(s) if protect else filter_of(s))[0](c)
     return c
 
 
@@ -255,8 +220,8 @@ def _apply(out: list, todo: tuple[str, ...], protect: bool = False) -> list:
         if s == "case_protect":
             protect = True
             continue
-        f = (_protected(s) if protect else FILTERS[s])[1]
-        if s == "stop":
+        f = (_protected(s) if protect else filter_of(s))[1]
+        if s == "stop" or s.startswith(STOP_FILE):
             out = f(out)
         elif s.startswith("shingle"):
             out = f([t for t in out if t is not None])

@@ -280,7 +280,7 @@ class Compiler:
     def size(self, name: str, tok: Column) -> Column:
         """The number of tokens; gaps of stopped words and between the values of lists don't count."""
         f, analyzer = self.search_field(name)
-        gaps = self.is_list(f) or "stop" in analysis.steps(analyzer or "whitespace", self.config)
+        gaps = self.is_list(f) or any(x.startswith("stop") for x in analysis.steps(analyzer or "whitespace", self.config))
         return F.size(F.filter(tok, lambda t: t.isNotNull())) if gaps else F.size(tok)
 
     def length(self, bars: str, name: str, node: lang.Node, boost: float) -> Compiled:
