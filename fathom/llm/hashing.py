@@ -85,8 +85,27 @@ def _between(s: np.ndarray, i, j, shift: np.ndarray, which: int) -> np.ndarray:
     return times(modulo(s[j] + (P - s[i])), shift) if which == 1 else (s[j] - s[i]) * shift
 
 
+#: Bytes whose spans are hashed at a time.
+PART_BYTES = 1 << 19
+
+
 def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A hash of every span of bytes; if they are a part of all bytes, only that part is read."""
+    """A hash of every span of bytes, whatever lies around it.
+
+    Spans in order are hashed a part of the bytes at a time, so that sums and powers stay as small as the part, or as
+    the longest span.
+    """
+    if (start[1:] < start[:-1]).any() or (end[1:] < end[:-1]).any():
+        return _spans_hash(buf, start, end, which)
+    out = np.empty(len(start), U)
+    for i, j in zip(*_ends(end // PART_BYTES), strict=True):
+        if j > i:
+            out[i:j] = _spans_hash(buf[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i], which)
+    return out
+
+
+def _spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """If the spans are a part of all bytes, only that part is read."""
     size = end - start
     if 2 * int(size.sum()) < len(buf):
         stop = np.cumsum(size)

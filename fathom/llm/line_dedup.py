@@ -20,7 +20,7 @@ def _lines(t: pa.Table):
     ids, t = X.in_order(t)
     buf, at = H.text_block(t.column("text"))
     start, end, doc = H.lines_of(buf, at)
-    seen = np.concatenate([[0], np.cumsum(~H.SPACE[buf])])
+    seen = np.concatenate([np.zeros(1, np.int32), np.cumsum(~H.SPACE[buf], dtype=np.int32)])
     return ids, t, buf, at, start, end, doc, np.flatnonzero(seen[end] > seen[start])
 
 

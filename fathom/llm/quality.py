@@ -12,6 +12,8 @@ from fathom.llm import hashing as H
 #: Hashed terms, latent dimensions, labelled rows of each class that are fitted at most, neighbours that vote.
 TERMS, RANK, PER_CLASS, VOTERS = 1024, 64, 2500, 15
 SHAPES = 8
+#: Bytes of text that are counted at a time.
+SLICE_BYTES = 1 << 19
 
 
 def counts(column) -> np.ndarray:
@@ -97,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Space
 
     def vectors(batches):
         for whole in batches:
-            for b in H.slices(whole):
+            for b in H.slices(whole, each=SLICE_BYTES):
                 yield pa.record_batch({"doc_id": b.column(0), "quality": b.column(2), "v": pa.array([r.tobytes() for r in counts(b.column(1))], pa.binary())})
 
     got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(vectors, "doc_id long, quality int, v binary").toArrow()
@@ -115,7 +117,7 @@ def score_quality(docs: DataFrame, space: Space, keep: tuple[str, ...] = ()) ->
 
     def run(batches):
         for whole in batches:
-            for b in H.slices(whole):
+            for b in H.slices(whole, each=SLICE_BYTES):
                 score = space.score(counts(b.column(1)))
                 kept = {f"keep{i}": b.column(3 + i) for i in range(len(keep))}
                 yield pa.record_batch({"doc_id": b.column(0), "held_out": b.column(2), "score": pa.array(score), "predicted": pa.array((score >= 0.3).astype(np.int32)), **kept})
