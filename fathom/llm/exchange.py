@@ -64,17 +64,21 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def distinct(keys: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(first, group): the distinct keys in order by one of their rows, and each row's number among them."""
-    order = np.argsort(keys, kind="stable") if second is None else np.lexsort((second, keys))
+    """(first, group): the distinct keys in order by their first rows, and each row's number among them."""
+    order = np.argsort(keys)  # rows of equal keys in any order: quicker than a stable sort
     k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
-    if second is not None:
+    if second is not None and not new.all():
         s = second[order]
-        new[1:] |= s[1:] != s[:-1]
+        if (~new[1:] & (s[1:] != s[:-1])).any():  # one key with several second ones
+            order = np.lexsort((second, keys))
+            k, s = keys[order], second[order]
+            new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
     group = np.empty(len(k), np.int64)
     group[order] = np.cumsum(new) - 1
-    return order[np.flatnonzero(new)], group
+    start = np.flatnonzero(new)
+    return np.minimum.reduceat(order, start) if len(start) else start, group
 
 
 def ask(blk: int, buckets: int, keys: np.ndarray, *more: np.ndarray, tail: Callable = lambda i, j: b"") -> list[tuple]:

@@ -53,11 +53,27 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[which][0][: n + 1], _POWERS[which][1][: n + 1]
 
 
+#: Items that are worked on at a time, so that what is made on the way stays in a core's cache.
+CHUNK = 1 << 14
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit (splitmix64's finalizer)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    if x.ndim != 1:
+        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+        return x ^ (x >> U(31))
+    out, spare = np.empty(len(x), U), np.empty(min(len(x), CHUNK), U)
+    for i in range(0, len(x), CHUNK):
+        y = out[i : i + CHUNK]
+        z = spare[: len(y)]
+        np.right_shift(x[i : i + CHUNK], U(30), out=z)
+        np.bitwise_xor(x[i : i + CHUNK], z, out=y)
+        for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+            np.multiply(y, U(factor), out=y)
+            np.right_shift(y, U(shift), out=z)
+            np.bitwise_xor(y, z, out=y)
+    return out
 
 
 def _sums(values: np.ndarray, which: int, small: bool = False) -> np.ndarray:
@@ -86,7 +102,7 @@ def _between(s: np.ndarray, i, j, shift: np.ndarray, which: int) -> np.ndarray:
 
 
 #: Bytes whose spans are hashed at a time.
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 16
 
 
 def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
@@ -124,6 +140,32 @@ def windows_hash(items: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     return mix(_between(s, slice(0, n), slice(size, None), powers(which, len(items))[1][:n], which))
 
 
+def bytes_hash(buf: np.ndarray, size: int, which: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash modulo 2**64 (which: 0 or 2) of every window of `size` bytes, or of those that start at `at` (in order).
+
+    For filters and choices only. Powers count from each part's own start, so they stay in cache, too.
+    """
+    n = max(0, len(buf) - size + 1)
+    out = np.empty(n if at is None else len(at), U)
+    power, back = powers(which, CHUNK + size)
+    edges = range(0, n + CHUNK, CHUNK) if at is None else np.searchsorted(at, np.arange(0, n + CHUNK, CHUNK)).tolist()
+    s = np.zeros(CHUNK + size, U)
+    for k, i in enumerate(range(0, n, CHUNK)):
+        if at is not None and edges[k] == edges[k + 1]:
+            continue
+        x = buf[i : i + CHUNK + size - 1].astype(U)
+        np.multiply(x, power[: len(x)], out=x)
+        np.cumsum(x, out=s[1 : len(x) + 1])
+        if at is None:
+            m = len(x) - size + 1
+            np.subtract(s[size : size + m], s[:m], out=x[:m])
+            out[i : i + m] = mix(np.multiply(x[:m], back[:m], out=x[:m]))
+        else:
+            p = at[edges[k] : edges[k + 1]] - i
+            out[edges[k] : edges[k + 1]] = mix((s[p + size] - s[p]) * back[p])
+    return out
+
+
 def text_block(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and where each begins (one more at the end). Null counts as empty."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

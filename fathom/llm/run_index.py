@@ -14,7 +14,7 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 class RunIndex:
     """Over texts that are joined with separators, each less than all bytes and unlike any other.
 
-    Building sorts all suffixes once, by prefixes of 7 * 2**i symbols. What stays is the transform's runs (head, first
+    Building sorts all suffixes once, by prefixes of up to 7 * 2**i symbols. What stays is the transform's runs (head, first
     row, and where their rows lead), a sampled position at each run's end, and for each interval of rows that share
     `length` symbols its first row and the least document number in it.
     """
@@ -23,32 +23,32 @@ class RunIndex:
         if length < 8:
             raise ValueError("matches have 8 symbols or more")
         self.lens, self.length = lens, length
-        n = len(data) + len(lens)
+        self.rows = n = len(data) + len(lens)
         sep = np.cumsum(lens + 1) - 1
         sym = np.zeros(n, np.int64)
         body = np.ones(n, bool)
         body[sep] = False
         sym[body] = data.astype(np.int64) + 1
         left = np.repeat(sep, lens + 1) - np.arange(n)
-        key, alive = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(7):
+        bits = max(1, (n - 1).bit_length())
+        k = base = min(7, (64 - bits) // 9)
+        key, alive = np.zeros(n, np.uint64), np.ones(n, bool)
+        for j in range(k):
             s = sym[np.minimum(np.arange(j, n + j), n - 1)]
-            key = key << 9 | np.where(alive, s, 0)
+            key = key << np.uint64(9) | np.where(alive, s, 0).astype(np.uint64)
             alive &= s != 0
-        k, rank, pairs = 7, None, None
+        rank, pairs = None, None
         while True:
-            order = np.argsort(key, kind="stable")
-            new = np.ones(n, bool)
-            new[1:] = key[order][1:] != key[order][:-1]
+            order, new = ordered(key, bits, 9 * k if rank is None else 2 * bits)
             if rank is None:
-                new |= left[order] < 7
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
+                new |= left[order] < k
+            rank = np.empty(n, np.uint64)
+            rank[order] = (np.cumsum(new) - 1).astype(np.uint64)
             if k < length <= 2 * k:
                 pairs = rank
             if new.all():
                 break
-            key = rank * n + rank[np.minimum(np.arange(k, n + k), n - 1)]
+            key = rank << np.uint64(bits) | rank[np.minimum(np.arange(k, n + k), n - 1)]
             k *= 2
         last = sym[order - 1]
         self.first = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
@@ -61,7 +61,7 @@ class RunIndex:
         if pairs is None:
             pairs, step = rank, 0
         else:
-            step = length - k_of(length)
+            step = length - k_of(length, base)
         far = np.minimum(order + step, n - 1)
         same = (pairs[order][1:] == pairs[order][:-1]) & (pairs[far][1:] == pairs[far][:-1])
         self.interval = np.flatnonzero(np.concatenate([[True], ~same]))
@@ -70,26 +70,44 @@ class RunIndex:
     def stream(self) -> np.ndarray:
         """For every text, for each of its windows in order: the least document number with the same window.
 
-        All texts walk at once from their separators leftwards; a row's run says where the row before it is.
+        All texts walk at once from their separators leftwards; a row's run says where the row before it is. For the
+        walk runs and intervals are written out by row, so that a step is a lookup and no search.
         """
+        size = np.diff(self.first, append=self.rows)
+        before = np.repeat(self.leads - self.first, size) + np.arange(self.rows)
+        least = np.repeat(self.least, np.diff(self.interval, append=self.rows))
         per = np.maximum(0, self.lens - self.length + 1)
         at = np.cumsum(per) - per
         out = np.zeros(int(per.sum()), np.int64)
         who = np.argsort(-self.lens, kind="stable")
         row = who.copy()
-        for t in range(1, int(self.lens.max(initial=0)) + 1):
-            n = np.searchsorted(-self.lens[who], -t, "right")
-            who, row = who[:n], row[:n]
-            run = np.searchsorted(self.first, row, "right") - 1
-            row = self.leads[run] + row - self.first[run]
+        base, long = (at + self.lens)[who], self.lens[who]
+        for t, n in enumerate(np.searchsorted(-long, -np.arange(1, long.max(initial=0) + 1), "right").tolist(), 1):
+            row = before[row[:n]]
             if t >= self.length:
-                out[at[who] + self.lens[who] - t] = self.least[np.searchsorted(self.interval, row, "right") - 1]
+                out[base[:n] - t] = least[row]
         return out
 
 
-def k_of(length: int) -> int:
-    """The prefix length 7 * 2**i below `length` whose ranks, taken twice, tell whether `length` symbols agree."""
-    k = 7
+def ordered(key: np.ndarray, bits: int, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by key of `used` bits, ties in order; and whether a key differs from the one before. If a row's number of
+    `bits` fits behind the key, plain numbers are sorted, which is several times as quick.
+    """
+    new = np.ones(len(key), bool)
+    if used + bits <= 64:
+        k = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+        order = (k & np.uint64((1 << bits) - 1)).astype(np.int64)
+        k >>= np.uint64(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+    new[1:] = k[1:] != k[:-1]
+    return order, new
+
+
+def k_of(length: int, base: int) -> int:
+    """The prefix length base * 2**i below `length` whose ranks, taken twice, tell whether `length` symbols agree."""
+    k = base
     while 2 * k < length:
         k *= 2
     return k

@@ -23,15 +23,17 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def grams(buf: np.ndarray, gram: int) -> np.ndarray:
-    return H.windows_hash(H._TABLE[0][buf], gram)
+    return H.bytes_hash(buf, gram, 0)
 
 
-def sliding(op, x: np.ndarray, wide: int) -> np.ndarray:
-    """op (minimum or maximum) over every `wide` neighbours, by doubling."""
-    n, size = len(x) - wide + 1, 1
-    while 2 * size <= wide:
-        x, size = op(x[:-size], x[size:]), 2 * size
-    return op(x[:n], x[wide - size :][:n])
+def sliding(op, whole: np.ndarray, wide: int, out: np.ndarray) -> None:
+    """op (minimum or maximum) over every `wide` neighbours, by doubling, a part that stays in cache at a time."""
+    for i in range(0, len(out), H.CHUNK):
+        x, size = whole[i : i + H.CHUNK + wide - 1], 1
+        n = len(x) - wide + 1
+        while 2 * size <= wide:
+            x, size = op(x[:-size], x[size:]), 2 * size
+        op(x[:n], x[wide - size :][:n], out=out[i : i + n])
 
 
 def segments(buf: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -43,7 +45,9 @@ def segments(buf: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
         z = np.zeros(0, np.int64)
         return z, z, z.astype(np.uint64), z, z.astype(np.uint64)
     h = grams(buf, gram)
-    m = sliding(np.minimum, h, wide)
+    around = np.zeros(n + 2 * (wide - 1), np.uint64)
+    m = around[wide - 1 : wide - 1 + n]
+    sliding(np.minimum, h, wide, m)
     cross = np.zeros(n + 1, np.int64)
     ends = at[1:-1][at[1:-1] < len(buf)]
     np.add.at(cross, np.maximum(0, np.minimum(ends - length + 1, n)), 1)
@@ -55,8 +59,10 @@ def segments(buf: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
     stop = own.copy()
     stop[:-1] &= ~own[1:] | new[1:]
     # a gram is the least of some window if the greatest of the least hashes around it is its own
-    none = np.zeros(wide - 1, np.uint64)
-    place = np.flatnonzero(sliding(np.maximum, np.concatenate([none, np.where(own, m, 0), none]), wide) == h)
+    m[~own] = 0
+    most = np.empty(len(h), np.uint64)
+    sliding(np.maximum, around, wide, most)
+    place = np.flatnonzero(most == h)
     return start, np.flatnonzero(stop) + 1 - start, m[start], place, h[place]
 
 
@@ -110,18 +116,26 @@ def two(data: bytes, n: int) -> np.ndarray:
     return np.stack([X.unpack(data[:half], n), X.unpack(data[half:], n)])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, those of equal weight together, as most are zeros, which shuffles compress."""
+    return x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def heads(docs: np.ndarray, lens: np.ndarray) -> tuple[int, bytes]:
     """What a message says of its segments. Bytes of equal weight stand together, as most are zeros; kind 1: lengths of
     one byte, kind 3: of four.
     """
     short = lens.max(initial=0) < 256
-    return (1 if short else 3), docs.view(np.uint8).reshape(-1, 8).T.tobytes() + lens.astype(np.uint8 if short else np.int32).tobytes()
+    return (1 if short else 3), planes(docs) + lens.astype(np.uint8 if short else np.int32).tobytes()
 
 
 def tails(kind: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // (9 if kind == 1 else 12)
-    docs = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n).reshape(8, n).T).view(np.int64).ravel()
-    return docs, np.frombuffer(data, np.uint8 if kind == 1 else np.int32, n, 8 * n).astype(np.int64)
+    return whole(data[: 8 * n]), np.frombuffer(data, np.uint8 if kind == 1 else np.int32, n, 8 * n).astype(np.int64)
 
 
 class Block:
@@ -140,9 +154,8 @@ class Block:
         whose = np.searchsorted(self.at, self.place, "right") - 1
         left = np.flatnonzero(self.place - side >= self.at[whose]) if len(whose) else whose
         right = np.flatnonzero(self.place + gram + side <= self.at[whose + 1]) if len(whose) else whose
-        wide = H.windows_hash(H._TABLE[2][self.buf], gram + side, 2)
         self.of = np.concatenate([left, right])
-        self.keys = wide[np.concatenate([self.place[left] - side, self.place[right]])] if len(wide) else np.zeros(0, np.uint64)
+        self.keys = np.concatenate([H.bytes_hash(self.buf, gram + side, 2, x) for x in (self.place[left] - side, self.place[right])])
         self.doc = self.ids[whose[self.of]]
         self.key_at = np.full((2, len(self.place)), -1)
         self.key_at[0, right] = len(left) + np.arange(len(right))
@@ -183,9 +196,37 @@ class Block:
         back = np.empty(len(by), np.int64)
         back[by] = np.arange(len(by))
         self.rep, self.rep_of, self.rep_to = rep[by], back[of], to[rep[by]]
+        self.rest()
+
+    def rest(self) -> None:
         self.hot_keys = [H.spans_hash(self.buf, self.hot, self.hot + self.length, w) for w in (0, 1)]
         self.hot_one, self.hot_group = X.distinct(*self.hot_keys)
 
+    def packed(self) -> bytes:
+        """The route for the last pass: runs, which distinct one each is, and runs of hot windows."""
+        new = np.diff(self.hot, prepend=-2) != 1
+        hot = self.hot[new]
+        many = np.diff(np.flatnonzero(new), append=len(self.hot))
+        parts = [np.diff(self.runs, prepend=0), self.lens, self.rep_of, np.diff(hot, prepend=0), many]
+        return np.array([len(self.runs), len(hot)], np.int64).tobytes() + b"".join(planes(x) for x in parts)
+
+
+class Routed(Block):
+    """A block in the last pass, of which the second has left what Block.route made."""
+
+    def __init__(self, t: pa.Table, length: int, data: bytes):
+        self.length = length
+        self.ids, self.t = X.in_order(t)
+        self.buf, self.at = H.text_block(self.t.column("text"))
+        n, h = np.frombuffer(data, np.int64, 2).tolist() if data else (0, 0)
+        cut = np.cumsum([16, 8 * n, 8 * n, 8 * n, 8 * h, 8 * h])
+        step, self.lens, self.rep_of, hot, many = (whole(data[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True))
+        self.runs, self.hot = np.cumsum(step), ranges(np.cumsum(hot), many)
+        self.run_doc, self.hot_doc = (self.ids[np.searchsorted(self.at, x, "right") - 1] for x in (self.runs, self.hot))
+        self.rep = np.full(self.rep_of.max(initial=-1) + 1, n)
+        np.minimum.at(self.rep, self.rep_of, np.arange(n))
+        self.rest()
+
 
 def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text: bool = False, hot_blocks: int = HOT_BLOCKS, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per document: bytes, bytes removed, removed runs, and a digest of the rest (with_text: the rest, too).
@@ -215,7 +256,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
             got[:, c[k] : c[k + 1]] = two(data, c[k + 1] - c[k])
         flags = got[:, group]
         b.route(flags)
-        out = [X.echo(blk, indexes, X.pack(flags[0]) + X.pack(flags[1]))]
+        out = [X.echo(blk, indexes, b.packed())]
         c = X.cuts(b.rep_to, indexes)
         for k in np.flatnonzero(np.diff(c)).tolist():
             r = b.rep[c[k] : c[k + 1]]
@@ -238,21 +279,15 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
             late = least[ranges(at[group], count)] < np.repeat(ids, count)
             ends = np.cumsum(count)
             stops = np.concatenate([[0], ends[np.cumsum(sizes) - 1]])
-            out += [(r["bucket"], r["blk"], 1, X.pack(late[i:j]), b"") for r, i, j in zip(asked, stops[:-1], stops[1:], strict=True)]
+            out += [(r["bucket"], r["blk"], 1, X.pack(late[i:j]), np.int64(j - i).tobytes()) for r, i, j in zip(asked, stops[:-1], stops[1:], strict=True)]
         return X.messages(out)
 
     def last(blk: int, t: pa.Table, said: pa.Table) -> pa.Table:
         rows = said.to_pylist()
-        b = Block(t, length, gram)
-        echoed = next((r["a"] for r in rows if not r["kind"]), None)
-        b.route(two(echoed, len(b.keys)) if echoed is not None else np.zeros((2, len(b.keys)), bool))
-        per, c = b.lens[b.rep], X.cuts(b.rep_to, indexes)
-        edge = np.concatenate([[0], np.cumsum(per)])
-        late = np.zeros(edge[-1], bool)
-        for r in rows:
-            if r["kind"] == 1:
-                i, j = edge[c[r["bucket"]]], edge[c[r["bucket"] + 1]]
-                late[i:j] = X.unpack(r["a"], j - i)
+        b = Routed(t, length, next((r["a"] for r in rows if not r["kind"]), b""))
+        edge = np.concatenate([[0], np.cumsum(b.lens[b.rep])])
+        told = sorted((r["bucket"], r["a"], r["b"]) for r in rows if r["kind"] == 1)
+        late = np.concatenate([np.zeros(0, bool), *(X.unpack(x, int(np.frombuffer(n, np.int64)[0])) for _, x, n in told)])
         hot = X.bits_of([(r["bucket"], r["a"]) for r in rows if r["kind"] == 2], b.hot_keys[0][b.hot_one], indexes)
         hit = late[ranges(edge[:-1][b.rep_of], b.lens)] | np.repeat(b.run_doc > b.run_doc[b.rep][b.rep_of], b.lens)
         hot = hot[b.hot_group] | (b.hot_doc > b.hot_doc[b.hot_one][b.hot_group])

@@ -5,12 +5,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fathom.llm import decontamination, embedding_dedup, exchange, language_id, line_dedup, minhash_dedup, mixing, quality, secrets, substring_dedup, suffix_dedup
+from fathom.llm import decontamination, embedding_dedup, exchange, hashing, language_id, line_dedup, minhash_dedup, mixing, quality, secrets, substring_dedup, suffix_dedup
 from fathom.llm.common import components
 from fathom.llm.run_index import RunIndex
 
@@ -88,6 +89,44 @@ def test_suffixes(docs, hot):
     assert collections.Counter(tuple(r) for r in suffix_dedup.dedup_suffixes(docs, hot_blocks=hot, index_bytes=2000).collect()) == want
 
 
+def test_suffix_blocks_are_cut_twice(monkeypatch):
+    """The last pass takes the route from the second: it cuts no block into segments again."""
+    passes, calls, segments = {}, [], suffix_dedup.segments
+    monkeypatch.setattr(exchange, "rounds", lambda docs, first, second, last, schema, filters, confirms: passes.update(locals()))
+    monkeypatch.setattr(exchange, "blocked", lambda docs, size: None)
+    monkeypatch.setattr(suffix_dedup, "pieces", lambda docs, text, each: 2)
+    monkeypatch.setattr(suffix_dedup, "segments", lambda *a: calls.append(1) or segments(*a))
+    suffix_dedup.dedup_suffixes(None, hot_blocks=1)
+    text = [" ".join(f"word{(7 * i + j) % 90}" for j in range(40)) for i in range(8)]
+    blocks = [pa.table({"doc_id": pa.array(range(k, 8, 2), pa.int64()), "text": text[k::2]}) for k in (0, 1)]
+
+    def by(tables, column):
+        whole = pa.concat_tables(tables)
+        return [whole.filter(pa.array([x == k for x in whole.column(column).to_pylist()])) for k in (0, 1)]
+
+    got = [t for t in by([passes["first"](k, t) for k, t in enumerate(blocks)], "bucket") if t.num_rows]
+    got = by([passes["filters"](t) for t in got], "blk")
+    got = [t for t in by([passes["second"](k, t, got[k]) for k, t in enumerate(blocks)], "bucket") if t.num_rows]
+    got = by([passes["confirms"](t) for t in got], "blk")
+    rows = [r for k, t in enumerate(blocks) for r in passes["last"](k, t, got[k]).to_pylist()]
+    assert len(rows) == 8 and len(calls) == 4
+    first, gone = {}, {}
+    for i, x in enumerate(text):
+        hit = [k for k in range(len(x) - 49) if first.setdefault(x[k : k + 50], i) < i]
+        gone[i] = len({k + j for k in hit for j in range(50)})
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == gone and sum(gone.values()) > 300
+
+
+def test_bytes_hash_across_parts():
+    """Equal windows hash alike wherever they stand, others do not, over the edges of parts."""
+    once = np.random.default_rng(3).integers(0, 256, 20_011).astype(np.uint8)
+    h = hashing.bytes_hash(np.concatenate([once, once]), 24, 0)
+    assert (h[: 20_011 - 23] == h[20_011:]).all() and len(np.unique(h)) == 20_011
+    at = np.array([0, 5, 16_383, 16_384, 16_385, 32_768, 39_998])
+    assert (hashing.bytes_hash(np.concatenate([once, once]), 24, 0, at) == h[at]).all()
+    assert len(hashing.bytes_hash(once[:23], 24, 0)) == 0 and len(hashing.bytes_hash(once[:0], 24, 2, at[:0])) == 0
+
+
 @given(st.lists(st.text("ab", min_size=9, max_size=24), min_size=1, max_size=12, unique=True))
 @settings(max_examples=60, deadline=None)
 def test_run_index(texts):
