@@ -264,6 +264,8 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component) after more links, which are followed between the components found so far."""
     ends = {c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"}
     edges = cut(links.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")).where("u <> v"))
+    if edges.isEmpty():
+        return found
     more = components(edges, "u", "v")
     old = found.join(more.select(F.col("id").alias("component"), F.col("component").alias("low")), "component", "left").select("id", F.coalesce("low", "component").alias("component"))
     return cut(old.union(more.join(found, "id", "left_anti")))
@@ -296,7 +298,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2) -> DataFrame:
     star = cut(star.where("id <> h").where(fit).groupBy("id", "h").agg(F.count("*").alias("k")))
     pair = [F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")]
     best = star.groupBy("id").agg(F.max_by("h", F.struct("k", -F.col("h"))).alias("h")).select(*pair).distinct()
-    found = components(cut(verified(estimated(best, reps), docs, shingle)))
+    found = components(verified(estimated(best, reps), docs, shingle))
     part = found.select(F.col("id").alias("h"), F.col("component").alias("d"))
     apart = star.join(found, "id", "left").join(part, "h", "left").where("coalesce(component, id) <> coalesce(d, h)").select(*pair).distinct()
     star = star.select(*pair).distinct()
