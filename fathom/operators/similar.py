@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,13 +13,9 @@ from pyspark.sql import functions as F
 from fathom.config import IndexConfig, QueryError
 from fathom.functions.analysis import query_tokens
 from fathom.operators import vectors as V
-from fathom.plans.compile import Compiler, similarity
+from fathom.plans.compile import Compiler, bm25, bm25_idf, one_of
 
-MAX_SOURCES, MAX_TOKENS = 100, 5000
-
-
-def equals(word: str):
-    return lambda t: t == word
+MAX_SOURCES = 100
 
 
 def sources(df: DataFrame, id_field: str, ids: list, columns: list[str]) -> list:
@@ -36,7 +34,7 @@ def pick_terms(df: DataFrame, config: IndexConfig, field: str, texts: list[str],
     if max_df_pct > 100:
         raise QueryError("a share of documents is at most 100 %")
     analyzer = config.searched(field)[1]
-    tf = Counter(t for s in texts for t in [t for t in query_tokens(s, analyzer, config) if t][:MAX_TOKENS])
+    tf = Counter(t for s in texts for t in query_tokens(s, analyzer, config) if t)
     words = [t for t, n in tf.items() if n >= min_tf and len(t) >= min_length and (not max_length or len(t) <= max_length)]
     comp = Compiler(df, config, terms={(field, w) for w in words})
     stats = comp.statistics()
@@ -51,28 +49,43 @@ def pick_terms(df: DataFrame, config: IndexConfig, field: str, texts: list[str],
     return [(w, tf[w], d) for _, w, d in sorted(ranked)[:max_terms]], stats
 
 
-def lexical(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts: list[str], mm: int = 1, **options) -> tuple[Column, Column, Compiler]:
-    """Which rows share at least `mm` of the picked terms of a field, their score, and the compiler that prepares rows."""
+def lexical(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts: list[str], mm: int = 1, **options) -> tuple[Column, Column, Callable[[DataFrame], DataFrame]]:
+    """Which rows share at least `mm` of the picked terms of a field, their score, and what prepares rows for both.
+
+    A row keeps those of its tokens that were picked, in one pass, and the terms are counted in what is kept; the terms
+    are one constant, so the code for a row is as small for many terms as for one.
+    """
     score, match = F.lit(0.0), F.lit(False)
-    comp = Compiler(df, config)
+    comp, kept = Compiler(df, config), {}
     for f in fields:
         words, stats = pick_terms(df, config, f, texts, **options)
         if not words:
             continue
-        tok = comp.tokens(f)
-        size = F.size(tok).cast("double")
-        has = [F.coalesce(F.array_contains(tok, w), F.lit(False)) for w, _, _ in words]
-        match = match | (sum((h.cast("int") for h in has), F.lit(0)) >= mm)
-        for (w, _, d), h in zip(words, has, strict=True):
-            tf = F.size(F.filter(tok, equals(w))).cast("double")
-            score = score + F.when(h, similarity("bm25", tf, size, stats["n"], d, stats[("mean", f)] or 1.0)).otherwise(0.0)
-    return match, score, comp
+        tok, held = comp.tokens(f), F.col(f"`_tok_held {f}`")
+        kept[f"_tok_held {f}"] = F.coalesce(F.filter(tok, one_of([w for w, _, _ in words])), F.array().cast("array<string>"))
+        match = match | (F.size(F.array_distinct(held)) >= mm)
+        size, mean = F.coalesce(F.size(tok), F.lit(0)).cast("double"), stats[("mean", f)] or 1.0
+        table = F.from_json(F.lit(json.dumps([{"w": w, "idf": bm25_idf(stats["n"], d)} for w, _, d in words])), "array<struct<w:string,idf:double>>")
+        score = score + F.aggregate(table, F.lit(0.0), adding(held, size, mean))
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        rows = comp.prepared(rows)
+        for name, c in kept.items():
+            rows = rows.select("*", F.explode(F.array(c)).alias(name))
+        return rows
+
+    return match, score, prepare
+
+
+def adding(held: Column, size: Column, mean: float):
+    """Adds a term's part of the score, from how often a row's kept tokens have it."""
+    return lambda sum_, x: sum_ + bm25(x["idf"], F.size(F.filter(held, lambda t: t == x["w"])).cast("double"), size, mean)
 
 
 def more_like(df: DataFrame, config: IndexConfig, fields: tuple[str, ...], texts: list[str], exclude: list | None = None, mm: int = 1, **options) -> DataFrame:
     """Rows that share at least `mm` of the picked terms of a field, with their score, best first."""
-    match, score, comp = lexical(df, config, fields, texts, mm, **options)
-    out = comp.prepared(df).where(match).withColumn("score", score)
+    match, score, prepare = lexical(df, config, fields, texts, mm, **options)
+    out = prepare(df).where(match).withColumn("score", score)
     out = out.select(*df.columns, "score")
     if exclude:
         out = out.where(~F.col(config.id_field).isin(exclude))

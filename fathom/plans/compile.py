@@ -6,12 +6,13 @@ statistics, which one aggregation collects for all terms of a request.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -374,7 +375,11 @@ class Compiler:
     # statistics
 
     def statistics(self) -> dict:
-        """Rows, mean lengths, and how many rows hold each term that was asked for: one aggregation, one row."""
+        """Rows, mean lengths, and how many rows hold each term that was asked for: one aggregation.
+
+        A few terms are each looked for in a row's tokens. More would cost a pass over the tokens each, so a row's tokens
+        meet all of them at once, and rows are counted by term: at most one row for each term reaches the driver.
+        """
         if not self.terms:
             return {"n": 0}
         pairs = sorted(self.terms)
@@ -382,23 +387,53 @@ class Compiler:
         self.made |= set(names)
         tok = self.prepared(self.df).select(*(self.tokens(f).alias(f"t{i}") for i, f in enumerate(names)))
         at = {f: F.col(f"t{i}") for i, f in enumerate(names)}
-        sizes = [F.avg(F.when(F.size(at[f]) > 0, self.size(f, at[f]))).alias(f"m{i}") for i, f in enumerate(names)]
-        held = [F.count_if(F.array_contains(at[f], w)).alias(f"d{i}") for i, (f, w) in enumerate(pairs)]
-        r = tok.agg(F.count("*").alias("n"), *sizes, *held).first()
+        sizes = [F.when(F.size(at[f]) > 0, self.size(f, at[f])) for f in names]
+        if len(pairs) <= FEW_TERMS:
+            held = [F.count_if(F.array_contains(at[f], w)).alias(f"d{i}") for i, (f, w) in enumerate(pairs)]
+            r = tok.agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(sizes)), *held).first()
+            df = {p: r[f"d{i}"] for i, p in enumerate(pairs)}
+        else:
+            # (field, term) for each term that the row holds, and (null, null) for the row itself
+            found = [F.transform(F.array_distinct(F.filter(at[f], one_of([w for g, w in pairs if g == f]))), of_field(i)) for i, f in enumerate(names)]
+            row = F.array(F.struct(F.lit(None).cast("int").alias("field"), F.lit(None).cast("string").alias("term")))
+            some = F.concat(row, *(F.coalesce(x, F.slice(row, 1, 0)) for x in found))
+            one = tok.select(F.inline(some), *(x.alias(f"s{i}") for i, x in enumerate(sizes)))
+            rows = one.groupBy("field", "term").agg(F.count("*").alias("n"), *(F.avg(f"s{i}").alias(f"m{i}") for i in range(len(names)))).collect()
+            counts = {(r.field, r.term): r.n for r in rows}
+            r = next((r for r in rows if r.field is None), None) or Row(n=0, **{f"m{i}": None for i in range(len(names))})
+            df = {(f, w): counts.get((names.index(f), w), 0) for f, w in pairs}
         out: dict = {"n": r.n} | {("mean", f): r[f"m{i}"] for i, f in enumerate(names)}
-        return out | {("df", f, w): r[f"d{i}"] for i, (f, w) in enumerate(pairs)}
+        return out | {("df", f, w): n for (f, w), n in df.items()}
+
+
+#: So many terms are looked for one by one in a row's tokens.
+FEW_TERMS = 8
+
+
+def of_field(i: int) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(i).alias("field"), x.alias("term"))
+
+
+def one_of(words: list[str]) -> Callable[[Column], Column]:
+    """A test of a token against words, by a set that is made once."""
+    return lambda t: t.isin(words)
 
 
 K1, B = 1.2, 0.75
 
 
+def bm25_idf(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def bm25(idf: Column, tf: Column, size: Column, mean: float) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(float(mean))))
+
+
 def similarity(kind: str, tf: Column, size: Column, n: int, df: int, mean: float) -> Column:
     """bm25 and tfidf in their textbook forms, tf, or constant."""
-    import math
-
     if kind == "bm25":
-        idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
-        return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(float(mean))))
+        return bm25(F.lit(bm25_idf(n, df)), tf, size, mean)
     if kind == "tfidf":
         return F.sqrt(tf) * F.lit((1 + math.log((n + 1) / (df + 1))) ** 2) / F.sqrt(size)
     if kind == "tf":
