@@ -209,7 +209,8 @@ class Compiler:
             return self.stored_test(self.stored(f).isNotNull(), boost)
         if isinstance(node, lang.Intervals):
             fn = intervals.analyzed(node.fn, lambda t: analysis.query_tokens(t, self.search_field(name)[1] or "whitespace", self.config))
-            return self.constant(intervals.matches(self.tokens(name), fn), boost)
+            need = intervals.possible(fn, lambda x: all_of([self.holds(name, w) for w in x[1] if w is not None]) if x[0] == "text" else None)
+            return self.constant(intervals.matches(self.tokens(name), fn), boost, None if need is None else F.coalesce(need, F.lit(False)))
         if isinstance(node, lang.Set_):
             return self.stored_test(self.numbers(f, node.values), boost) if node.numbers else self.constant(self.raw_terms(name, node.values), boost)
         if f.type in NUMBERS or f.type in ("DATE", "BOOL"):

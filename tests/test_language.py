@@ -155,3 +155,54 @@ def test_steps_agree_between_columns_and_lists(spark):
 def test_edit_distance():
     assert intervals.edits("abc", "acb", 2) == 1 and intervals.edits("abc", "acb", 2, swaps=False) == 2 and intervals.edits("a", "abcdef", 2) == 3
     assert lang.INTERVALS["maxgaps"] == "maxgaps"
+
+
+def test_interval_tests_against_all_pairs():
+    import random
+    import time
+
+    inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1]
+    near = lambda x, y, n: y[0] - n <= x[1] and x[0] <= y[1] + n
+    rule = {
+        "before": lambda s, b: any(s[1] < r[0] for r in b),
+        "after": lambda s, b: any(s[0] > r[1] for r in b),
+        "containing": lambda s, b: any(inside(r, s) for r in b),
+        "notContaining": lambda s, b: not any(inside(r, s) for r in b),
+        "containedBy": lambda s, b: any(inside(s, r) for r in b),
+        "notContainedBy": lambda s, b: not any(inside(s, r) for r in b),
+        "overlapping": lambda s, b: any(near(s, r, 0) for r in b),
+        "nonOverlapping": lambda s, b: not any(near(s, r, 0) for r in b),
+        "within": lambda s, b: any(r[0] - 2 <= s[0] and s[1] <= r[1] + 2 for r in b),
+        "notWithin": lambda s, b: not any(near(s, r, 2) for r in b),
+    }
+    rand = random.Random(5)
+    word = lambda w: ("text", [w])
+    some = [word("a"), word("b"), ("text", ["a", "b"]), ("ordered", (word("a"), word("c"))), ("extend", (word("b"), 2, 1)), ("unordered", (word("c"), word("b"))), ("or", (word("a"), ("text", ["c", None, "b"])))]
+    for _ in range(300):
+        tokens = [rand.choice(("a", "b", "c", "d", None)) for _ in range(rand.randrange(25))]
+        x, y, name = rand.choice(some), rand.choice(some), rand.choice(list(rule))
+        a, b = intervals.evaluate(x, tokens), intervals.evaluate(y, tokens)
+        got = intervals.evaluate((name, (x, 2, y) if "ithin" in name else (x, y)), tokens)
+        assert got == [s for s in a if rule[name](s, b)], (name, x, y, tokens)
+    begin = time.monotonic()
+    assert not intervals.evaluate(("containing", (word("a"), word("b"))), ["a", "b"] * 20_000)
+    assert time.monotonic() - begin < 5
+
+
+def test_intervals_send_positions_to_python(spark):
+    import re
+
+    from fathom.config import FieldConfig, IndexConfig
+    from fathom.operators.search import Clause, Search, Searcher
+
+    rows = [(1, "on 7 of the thing"), (2, "the 7 x of"), (3, None), (4, ""), (5, "tha of teh x x 7"), (6, "OF x THE")]
+    config = IndexConfig("i", "id", (FieldConfig("text", "STRING", {"text": "standard", "stopped": "halted"}),), ("text",), analyzers={"halted": ("tok_standard", "lower", "stop")})
+    s = Searcher(spark.createDataFrame(rows, "id long, text string"), config)
+    hits = lambda q: s.hits(Search((Clause("FILTER", q),)), scored=False)
+    for q, want in (
+        ("fn:ordered(7 of)", [1, 2]), ("fn:maxwidth(3 fn:atLeast(2 of the 7))", [1, 2, 6]), ("fn:or(thing 7)", [1, 2, 5]), ("fn:fuzzyTerm(the 1)", [1, 2, 5, 6]),
+        ("fn:wildcard(t[h]*g)", [1]), ("fn:notContaining(fn:ordered(of the) x)", [1]), ("fn:within(of 2 the)", [1, 6]), ('fn:containing("of the" the)', [1]), ("fn:notWithin(of 3 the)", [5]),
+        ("stopped:fn:ordered(7 thing)", [1]), ('stopped:fn:phrase("7 of the" thing)', [1]), ('"the of"~1', []), ('"the of"~2', [1, 2]),
+    ):
+        assert sorted(r.id for r in hits(q).collect()) == want, q
+        assert not re.search(r"run\(_tok_\w+#\d+\)", hits(q)._jdf.queryExecution().optimizedPlan().toString())
